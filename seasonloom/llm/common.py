@@ -52,3 +52,28 @@ def read_file(path: str) -> bytes:
     """A local vocabulary file, read on the driver."""
     with open(os.fspath(path), "rb") as f:
         return f.read()
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, teaches: Column | None = None) -> DataFrame:
+    """doc_id, text, label of at most about most labelled documents, chosen by a hash of doc_id.
+
+    The chosen label rows (no more than most, two numbers each) are broadcast, so that texts needn't be shuffled. Of
+    contradicting labels of one document the larger counts; null texts are empty. teaches: which label rows may teach.
+    """
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    if teaches is not None:
+        usable = usable.where(teaches)
+    chosen = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(most)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+
+def fitted(sample: DataFrame, fit) -> bytes:
+    """What fit(list of (doc_id, text, label)) returns, as bytes, run in one task on a bounded sample in doc_id order."""
+    import pandas as pd
+
+    def work(frames):
+        rows = [r for f in frames for r in zip(f["doc_id"], f["text"], f["label"])]
+        rows.sort(key=lambda r: (r[0], r[1]))
+        yield pd.DataFrame({"model": [fit(rows)]})
+
+    return bytes(sample.select("doc_id", "text", "label").coalesce(1).mapInPandas(work, "model binary").first()["model"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import bpe, mixing, secrets
+from seasonloom.llm import bpe, langid, mixing, quality, secrets, toxicity
 from seasonloom.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of(k) for k in secrets.KINDS], F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded texts of every document, as digests."""
     import public_tokenizers
@@ -26,14 +31,24 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, with its nearest examples."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     """The queries by name."""
-    return {f.__name__: f for f in (op3_secret_scans, op5_bpe, op9_mixing)}
+    return {f.__name__: f for f in (op3_secret_scans, op4_language_id, op5_bpe, op6_quality, op9_mixing, op10_toxicity)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
