@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import bpe, langid, mixing, quality, secrets, toxicity
+from seasonloom.llm import bpe, langid, mixing, quality, rules, secrets, toxicity
 from seasonloom.llm.common import table
 
 
@@ -36,6 +36,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of every document."""
+    found = rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all documents takes of each."""
     return mixing.taken_words(table(spark, sf_dir, "documents"))
@@ -48,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     """The queries by name."""
-    return {f.__name__: f for f in (op3_secret_scans, op4_language_id, op5_bpe, op6_quality, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op3_secret_scans, op4_language_id, op5_bpe, op6_quality, op8_quality_rules, op9_mixing, op10_toxicity)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
