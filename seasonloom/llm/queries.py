@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import bpe, langid, mixing, quality, rules, secrets, toxicity
+from seasonloom.llm import bpe, html, langid, mixing, neighbours, quality, rules, secrets, toxicity
 from seasonloom.llm.common import table
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts and digest of the patterns' spans, and all spans."""
     found = secrets.scan(table(spark, sf_dir, "documents"))
@@ -36,6 +42,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base figures and verdict of every document."""
     found = rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     """The queries by name."""
-    return {f.__name__: f for f in (op3_secret_scans, op4_language_id, op5_bpe, op6_quality, op8_quality_rules, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op2_neighbours, op3_secret_scans, op4_language_id, op5_bpe, op6_quality, op7_html_extraction, op8_quality_rules, op9_mixing, op10_toxicity)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
