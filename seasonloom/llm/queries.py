@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonloom.llm import bpe, html, langid, mixing, neighbours, quality, rules, secrets, toxicity
+from seasonloom.llm import bpe, html, langid, mixing, neardup, neighbours, quality, rules, secrets, toxicity
 from seasonloom.llm.common import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return neardup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows of every vector whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
@@ -65,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     """The queries by name."""
-    return {f.__name__: f for f in (op2_neighbours, op3_secret_scans, op4_language_id, op5_bpe, op6_quality, op7_html_extraction, op8_quality_rules, op9_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_neighbours, op3_secret_scans, op4_language_id, op5_bpe, op6_quality, op7_html_extraction, op8_quality_rules, op9_mixing, op10_toxicity)}
 
 
 #: DuckDB SQL of the queries that SQL can express.
