@@ -237,8 +237,8 @@ def automaton(data: bytes) -> MergeAutomaton:
     return cache[key]
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids array<int>, decoded string: each whole text encoded, and its ids decoded again. One scan, no shuffle."""
+def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """id_col, ids array<int>, decoded string: each whole text encoded, and (decode, else null) its ids decoded again. One scan, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(read_file(vocab_path))  # one vocabulary file, a few MB at any size of the data
 
     def work(batches):
@@ -253,7 +253,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                 ends = np.zeros(len(found) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in found], out=ends[1:])
                 flat = np.concatenate([np.array(x, dtype=np.int32) for x in found])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bpe.decode(x) for x in found], pa.string())], ["key", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([bpe.decode(x) if decode else None for x in found], pa.string())], ["key", "ids", "decoded"])
 
     read = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     schema = f"key {read.schema['key'].dataType.simpleString()}, ids array<int>, decoded string"

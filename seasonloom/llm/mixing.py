@@ -101,45 +101,66 @@ def draw_slots(shares: DataFrame, block_words: int, shard_slots: int, seed: int)
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("start", F.coalesce(F.sum("drawn").over(before), F.lit(0)))
     counts = counts.alias("c").join(shares.alias("s"), same("c", "s", "source")).select("shard", "c.source", "start", F.least(F.col("start") + F.col("drawn"), "quota").alias("end"), "n_blocks")
-    return counts.where("end > start").select("shard", "source", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("j"), "n_blocks")
+    # a source's counts meet in one task to be added up; its slots are dealt out again
+    spread = counts.where("end > start").repartition(max(1, min(4096, total // 200_000 + 1)), "shard", "source")
+    return spread.select("shard", "source", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("j"), "n_blocks")
 
 
-def laid_out(sizes: DataFrame, seed: int) -> DataFrame:
-    """sizes with start: where each document's words begin in its source's stream."""
-    total = sizes.count()
-    n_buckets = max(1, int(total**0.5))
-    sizes = sizes.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(n_buckets)))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+def laid_out(rows: DataFrame, seed: int) -> DataFrame:
+    """row, source, size, start: where each row's words begin in its source's stream."""
+    n_buckets = max(1, int(rows.count() ** 0.5))
+    sizes = rows.select("row", "doc_id", "source", "size", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(n_buckets)).alias("bucket"))
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("base", F.coalesce(F.sum("words").over(over), F.lit(0))).drop("words")
     within = sizes.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     found = within.alias("d").join(base.alias("b"), same("d", "b", "source") & (F.col("d.bucket") == F.col("b.bucket")))
-    return found.select("d.doc_id", "d.source", "d.size", (F.col("start") + F.col("base")).alias("start"))
+    return found.select("d.row", "d.source", "d.size", (F.col("start") + F.col("base")).alias("start"))
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 9) -> dict[str, DataFrame]:
-    """Plans a mix of docs (doc_id, text, source): tables shares (by source), pieces (doc_id, source, size, start and,
-    for each block that it crosses, its words there) and slots (shard, source, j, block)."""
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    shares = targets(sizes)
-    slots = permuted(draw_slots(shares, block_words, shard_slots, seed).withColumn("turn", F.pmod("j", "n_blocks")), "turn", "n_blocks", ["source"], seed).drop("turn")
-    whole = laid_out(sizes, seed)
+def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 9) -> dict[str, DataFrame]:
+    """Plans a mix of rows (row, doc_id, source, size): tables shares (by source), pieces (row, source, and for each
+    block that it crosses block, from_word and words there) and slots (shard, source, j, turn, block): turn counts how
+    often the source has been passed through."""
+    shares = targets(rows)
+    drawn = draw_slots(shares, block_words, shard_slots, seed).withColumn("place", F.pmod("j", "n_blocks")).withColumn("turn", F.floor(F.col("j") / F.col("n_blocks")))
+    slots = permuted(drawn, "place", "n_blocks", ["source"], seed).drop("place", "n_blocks")
+    whole = laid_out(rows, seed).where("size > 0")
     block = F.explode(F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))).alias("block")
-    pieces = whole.where("size > 0").select("doc_id", "source", "size", "start", block)
+    pieces = whole.select("row", "source", "size", "start", block)
     first = F.greatest(F.col("start"), F.col("block") * block_words)
     pieces = pieces.withColumn("from_word", first - F.col("start")).withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - first)
-    return {"sizes": whole, "shares": shares, "pieces": pieces, "slots": slots}
+    return {"shares": shares, "pieces": pieces.drop("start"), "slots": slots}
+
+
+def numbered(docs: DataFrame, *columns) -> DataFrame:
+    """row (a number, fixed by being stored), doc_id, source, size and columns of docs."""
+    return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *columns).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for each document: the words that the mix takes, repeats counted."""
-    plan = mix(docs, **options)
+    rows = numbered(docs)
+    plan = mix(rows, **options)
     times = plan["slots"].groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     hit = plan["pieces"].alias("p").join(times.alias("t"), same("p", "t", "source") & (F.col("p.block") == F.col("t.block")))
-    taken = hit.select("p.doc_id", "p.source", "p.size", "p.start", (F.col("words") * F.col("times")).alias("taken"))
-    # documents without a block in the mix, and those without words, take part with 0
-    every = taken.unionByName(plan["sizes"].withColumn("taken", F.lit(0).cast("long")))
-    empty = every.where("size = 0").select("doc_id", "source", "size", "taken")
-    full = every.where("size > 0").groupBy("source", "start", "doc_id", "size").agg(F.sum("taken").alias("taken")).select("doc_id", "source", "size", "taken")
+    taken = hit.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     shares = stored(plan["shares"], "mix-targets")
-    return full.unionByName(empty).alias("d").join(shares.alias("s"), same("d", "s", "source")).select("d.doc_id", "d.size", "s.source_size", "s.target", "d.taken")
+    found = rows.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+    return found.alias("d").join(shares.alias("s"), same("d", "s", "source")).select("d.doc_id", "d.size", "s.source_size", "s.target", "d.taken")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs (same columns) as the mix takes them: a document appears once for each turn of its source that takes words of
+    it, with these words in order, each with the white space behind it, as text and n_chars; whole texts stay as they are."""
+    rows = numbered(docs, F.struct(*docs.columns).alias("doc"))
+    plan = mix(rows.drop("doc"), **options)
+    hit = plan["pieces"].alias("p").join(plan["slots"].alias("t"), same("p", "t", "source") & (F.col("p.block") == F.col("t.block")))
+    spans = hit.groupBy("row", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("spans"), F.sum("words").alias("taken"))  # bounded by a document's blocks
+    full = rows.join(spans, "row")
+    words = F.regexp_extract_all(F.col("doc.text"), F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
+    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("words_", (s["from_word"] + 1).cast("int"), s["words"].cast("int")))), "")
+    whole = F.col("taken") == F.col("size")
+    full = full.withColumn("words_", F.when(~whole, words)).withColumn("text_", F.when(whole, F.col("doc.text")).otherwise(part))
+    made = {"text": F.col("text_"), "n_chars": F.when(whole, F.col("doc.n_chars") if "n_chars" in docs.columns else F.lit(0)).otherwise(F.length("text_").cast("long"))}
+    return full.select(*[made[c].alias(c) if c in made else F.col(f"doc.{c}").alias(c) for c in docs.columns])

@@ -120,8 +120,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     kept = discoveries(stored(battery(tokens), "secret-tests"), rate).where("secret")
     more = kept.groupBy("row").agg(F.collect_list("span").alias("more"))
     order = lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(rank_of(a) - rank_of(b))
-    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))
-    return rows.join(more, "row", "left").select(id_col, F.array_sort(spans, order).alias("spans"))
+    # few rows have a candidate: only these are joined
+    tested = rows.where(F.size("found") > 0).join(more, "row", "left").withColumn("base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")))
+    both = rows.where(F.size("found") <= 0).select(id_col, "base").unionByName(tested.select(id_col, "base"))
+    return both.select(id_col, F.array_sort("base", order).alias("spans"))
 
 
 def rank_of(span: Column) -> Column:
@@ -131,8 +133,7 @@ def rank_of(span: Column) -> Column:
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with each secret in the text replaced by <kind>; null texts stay null. Overlapping spans count as one."""
-    marked = docs.withColumn("_row", F.struct(*docs.columns))
-    spans = scan(marked.select(F.col("_row").alias("key"), F.col(text_col).alias("scanned")), "key", "scanned", **options)
+    spans = scan(docs.select(F.struct(*docs.columns).alias("key"), F.col(text_col).alias("scanned")), "key", "scanned", **options)
     text = F.col(f"key.{text_col}")
 
     def step(state: Column, s: Column) -> Column:
