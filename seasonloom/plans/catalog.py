@@ -537,11 +537,11 @@ TWO_METHODS = {"tuned": "pred_tuned", "climatology": "pred_clim"}
 ERRORS = (*LADDER, 'er AS (SELECT "ID", sum((tuned - o) * (tuned - o)) AS se_t, count(tuned) AS n_t, sum((climatology - o) * (climatology - o)) AS se_c, count(climatology) AS n_c FROM bt GROUP BY 1)')
 
 
-@query(recursive_with(*ERRORS) + 'SELECT "ID", round(se_t, 2) AS se_tuned, n_t AS n_tuned, round(se_c, 2) AS se_climatology, n_c AS n_climatology FROM er WHERE n_t > 0 AND n_c > 0')
+@query(recursive_with(*ERRORS) + 'SELECT "ID", round(se_t / 1000000, 3) AS se_tuned, n_t AS n_tuned, round(se_c / 1000000, 3) AS se_climatology, n_c AS n_climatology FROM er WHERE n_t > 0 AND n_c > 0')
 def per_id_error_stats(spark, sf):
-    """Squared errors by location of two methods."""
+    """Squared errors (millions) by location of two methods."""
     e = inference.per_id_errors(ladder(spark, sf), TWO_METHODS)
-    return e.select("ID", F.round("se_tuned", 2).alias("se_tuned"), "n_tuned", F.round("se_climatology", 2).alias("se_climatology"), "n_climatology")
+    return e.select("ID", F.round(F.col("se_tuned") / 1000000, 3).alias("se_tuned"), "n_tuned", F.round(F.col("se_climatology") / 1000000, 3).alias("se_climatology"), "n_climatology")
 
 
 @query(recursive_with(*ERRORS, "de AS (SELECT sqrt(se_c / n_c) - sqrt(se_t / n_t) AS d FROM er WHERE n_t > 0 AND n_c > 0)") + "SELECT count(*) AS n, round(avg(d), 4) AS mean_delta, round(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_fraction, round(avg(d) / nullif(stddev_samp(d), 0), 5) AS cohens_d FROM de")
