@@ -313,13 +313,15 @@ def test_pipeline_stages(spark):
     docs = documents(spark, corpus(rng, 30) + ODD + [(950, "password: hunter2hunter2 and some more words here", "s1")])
     columns, at = docs.columns, docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r.doc_id, r.text, r.source) for r in at.collect()]
         at = spark.createDataFrame(stage(spark, at, "").collect(), at.schema)
         assert at.columns == columns, name
         ids = [r.doc_id for r in at.collect()]
         if name == "language_id":
             assert 905 not in ids and 901 not in ids and 900 not in ids and 902 in ids
         if name == "near_duplicates":
-            assert len(set(ids)) == len(ids) and 3 in ids and 201 not in ids and 100 in ids and 101 not in ids
+            assert len(set(ids)) == len(ids) < len(before)
+            assert sorted(d for d in ids if d is not None) == sorted({c for _, _, c in brute_components(before)})
         if name == "secret_scans":
             assert at.where("doc_id = 950").first().text == "<assign> and some more words here"
     tokens = corpus_pipeline.STAGES[-1][1](spark, at, "")
