@@ -9,11 +9,11 @@ tokens. The join grows trees of nodes: at a root, all classes choose a position
 by their token there; two sets of similarity s share such a node with probability s. Nodes of at most LEAF classes are
 compared exhaustively (by sketches, then what passes by whole sets); larger nodes branch again by one or two positions
 that the node's name selects. Independent trees repeat until the recall is as wanted: a pair of similarity 0.8 whose
-nodes are small is missed with probability 0.2 ^ 12.
+nodes are small is missed with probability 0.2 ^ 8.
 
-Groups of near copies of any size stay cheap, as only links between different components matter. The first four trees
+Groups of near copies of any size stay cheap, as only links between different components matter. The first three trees
 do not branch: their large nodes are dealt into blocks that share a few pivots, which ties most of a group together.
-The other eight trees know these components: a node within one component is done, a large one with few classes outside
+The other five trees know these components: a node within one component is done, a large one with few classes outside
 its main component compares just these with all others, in blocks, and what else is large branches. Nodes that are
 still large at the greatest depth are compared by pairs of blocks. Nothing is capped or dropped. Edges of a node are a
 spanning forest, and components meet by least-label propagation with pointer jumping on the executors.
@@ -35,7 +35,9 @@ from seasonloom.llm.common import stored
 
 #: Words of a shingle; least similarity in hundredths; tokens of a sketch; trees of the two rounds; classes of a node
 #: that is compared exhaustively; few classes outside a main component; greatest depth; pivots of a block.
-WIDTH, LEAST, TOKENS, TREES, LEAF, FEW, DEPTH, PIVOTS = 4, 80, 64, (4, 8), 256, 48, 14, 8
+WIDTH, LEAST, TOKENS, TREES, LEAF, FEW, DEPTH, PIVOTS = 4, 80, 64, (3, 5), 256, 1024, 14, 8
+#: Rows of 64 bits of the filter before texts are shuffled.
+FILTER_WORDS = 1 << 15
 #: Least share of equal tokens to look at whole sets: 0.8 less four standard deviations.
 SKETCH_LEAST = 38
 MULTIPLIERS = np.random.default_rng(1).integers(0, 2**62, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,8 +182,14 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
                 f1 = [int(textops.mixed(sets[s:e] ^ np.uint64(0x51)).sum(keepdims=True).view(np.int64)[0]) for s, e in zip(begins[:-1], begins[1:])]
                 yield pd.DataFrame({"id": frame["id"].iloc[a:b].to_numpy(), "f1": f1, "shingles": [sets[s:e].tobytes() for s, e in zip(begins[:-1], begins[1:])]})
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return texts.join(wanted.select("id").distinct(), "id").mapInPandas(work, "id long, f1 long, shingles binary")
+    # most texts aren't wanted: a bitmap of id hashes, at most FILTER_WORDS rows of 64 bits at any size of the data, keeps
+    # their larger part out of the shuffle
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * FILTER_WORDS))
+    wanted = wanted.select("id").distinct()
+    bits = wanted.select(place("id").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("p", place("id"))
+    likely = texts.withColumn("word", F.shiftright("p", 6)).join(F.broadcast(bits), "word").where("(shiftright(bits, cast(p % 64 as int)) & 1L) = 1").select("id", "text")
+    return likely.join(wanted, "id").mapInPandas(work, "id long, f1 long, shingles binary")
 
 
 def verified(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -194,13 +202,16 @@ def verified(groups: DataFrame, sets: DataFrame) -> DataFrame:
             for _, own in frame.groupby("gid", sort=False):
                 tokens = np.frombuffer(b"".join(own["sketch"]), np.uint32).reshape(-1, TOKENS)
                 ids, labels = own["id"].to_numpy(), own["label"].to_numpy()
-                sets = [np.frombuffer(s, np.uint64) for s in own["shingles"]]
+                raw, sets = own["shingles"].to_numpy(), {}
                 forest, of = Forest(len(ids)), {}
                 for k, label in enumerate(labels.tolist()):
                     forest.join(of.setdefault(label, k), k)
                 for a, b, _ in zip(*similar_pairs(tokens, own["n"].to_numpy(), labels)):
                     if forest.root(a) != forest.root(b):
-                        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        for k in (a, b):
+                            if k not in sets:
+                                sets[k] = frozenset(np.frombuffer(raw[k], np.uint64).tolist())
+                        both = len(sets[a] & sets[b])
                         if 100 * both >= LEAST * (len(sets[a]) + len(sets[b]) - both):
                             forest.join(a, b)
                             out.append((ids[a], ids[b]))
@@ -214,7 +225,7 @@ def verified(groups: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, label of the vertices of edges (a, b): the least id that can be reached. Least labels pass along edges and
     then jump to their label's label, so the rounds grow with the logarithm of a component's width."""
-    both = stored(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "edges")
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
     labels = stored(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("id"), F.least("u", "v").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
