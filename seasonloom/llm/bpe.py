@@ -24,9 +24,9 @@ from seasonloom.llm.common import read_file, worker_cache
 WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
 PRE_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Words whose tokens a worker keeps, and the longest word that it keeps.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 48
+KEPT_WORDS, KEPT_LENGTH = 250_000, 48
 #: Rests of words that a worker keeps, and the longest word that is split by way of them.
-KEPT_TAILS, LONG_WORD = 400_000, 200
+KEPT_TAILS, LONG_WORD = 200_000, 200
 ROWS_OUT = 256
 
 

@@ -174,17 +174,16 @@ def predict(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[s
         spec = pickle.loads(shared.value)
         scorer = Scorer(spec) if spec else None
         for frame in frames:
-            texts = [t or "" for t in frame["_text"].where(frame["_text"].notna(), "")]
-            langs, scores = [], []
+            texts = [t or "" for t in frame[column].where(frame[column].notna(), "")]
             for a, b in textops.batches(texts):
-                found, share = scorer.predict(texts[a:b]) if scorer else (["und"] * (b - a), [0.0] * (b - a))
-                langs += found
-                scores += list(share)
-            out = frame.drop(columns="_text")
-            yield out.assign(lang_pred=pd.Series(langs, index=out.index, dtype=object), score=pd.Series(scores, index=out.index, dtype=float))
-
-    read = docs.select(*keep, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema if f.name != "_text")
+                langs, scores = scorer.predict(texts[a:b]) if scorer else (["und"] * (b - a), [0.0] * (b - a))
+                out = frame.iloc[a:b][list(keep)]
+                yield out.assign(lang_pred=pd.Series(langs, index=out.index, dtype=object), score=pd.Series(scores, index=out.index, dtype=float))
+
+    # a text that is kept goes to the workers once
+    column = text_col if text_col in keep else "_text"
+    read = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
+    schema = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in keep)
     return read.mapInPandas(work, f"{schema}, lang_pred string, score double")
 
 

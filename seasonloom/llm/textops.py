@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Characters of text that are hashed at once; a longer text makes a batch of its own.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 400_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 with np.errstate(over="ignore"):
     #: STEP's inverse modulo 2^64.
