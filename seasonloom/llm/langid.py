@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonloom.llm import textops
-from seasonloom.llm.common import doc_hash
+from seasonloom.llm.common import doc_hash, stored
 
 #: Bound of the training sample: about so many documents of each language, chosen by hash.
 DOCS_PER_LANG = 1500
@@ -96,6 +96,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
                         yield pd.DataFrame({"lang": lang, "n": n, "gram": keys.view(np.int64), "times": times})
 
     counts = sample.mapInPandas(count, "lang string, n int, gram long, times long").groupBy("n", "gram", "lang").agg(F.sum("times").alias("times"))
+    counts = stored(counts, "language-counts")  # read once for each n
     totals = counts.groupBy("n", "lang").agg(F.sum("times").alias("all")).collect()
     by_gram = counts.groupBy("n", "gram").agg(F.sum("times").alias("times"), F.collect_list(F.struct("lang", "times")).alias("by"))  # a row per language at most
     kept = {}
