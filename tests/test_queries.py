@@ -5,7 +5,7 @@ import pytest
 from seasonloom.plans import catalog
 from tests.oracle import SF, assert_same
 
-FAST = ["climatology_daily", "prepared_series_join", "anomaly_lags", "gram_day_sums", "circular_convolution", "wls_fit_tricube", "wls_fit_doy_subset", "loyo_cosine_skill", "zone_recipe_lookup", "zoned_fit_two_features", "forecast_recursive", "completeness_by_doy", "patch_coefficients", "patch_summary", "coverage_counts", "coefficient_delta", "prediction_agreement", "skill_monthly", "skill_verdict", "zone_ols", "baseline_ladder", "win_fraction_cohens_d", "point_in_polygon", "nearest_zone", "grid_index", "raster_to_long", "bucket_histogram", "scaling_median_speedup", "weak_diagonals", "gamma_fit"]
+FAST = ["climatology_daily", "prepared_series_join", "anomaly_lags", "gram_day_sums", "circular_convolution", "wls_fit_tricube", "loyo_cosine_skill", "zone_recipe_lookup", "zoned_fit_two_features", "completeness_by_doy", "prediction_agreement", "skill_monthly", "point_in_polygon", "nearest_zone", "weak_diagonals", "gamma_fit"]
 
 
 @pytest.mark.parametrize("name", FAST)
