@@ -37,9 +37,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables that stored() has written; for callers whose results are written elsewhere by now."""
-    while WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+    forget(spark, "")
+
+
+def forget(spark: SparkSession, *names: str) -> None:
+    """Deletes the tables that stored() has written under these names; nothing may read them any more."""
+    for where in [p for p in WRITTEN if p.rpartition("/")[2].startswith(names)]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        WRITTEN.remove(where)
 
 
 def doc_hash(c: Column, modulus: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonloom.llm import textops
-from seasonloom.llm.common import stored
+from seasonloom.llm.common import forget, stored
 
 #: Words of a shingle; least similarity in hundredths; tokens of a sketch; trees of the two rounds; classes of a node
 #: that is compared exhaustively; few classes outside a main component; greatest depth; pivots of a block.
@@ -168,7 +168,8 @@ def candidates(leaves: DataFrame) -> DataFrame:
                 yield frame.iloc[keep][["id", "n", "f1", "label", "sketch"]].assign(gid=gids)[["gid", "id", "n", "f1", "label", "sketch"]]
 
     ordered = leaves.select("node", "id", "n", "f1", "label", "sketch").repartition("node").sortWithinPartitions("node", "id")
-    return ordered.mapInPandas(work, "gid long, id long, n long, f1 long, label long, sketch binary")
+    found = ordered.mapInPandas(work, "gid long, id long, n long, f1 long, label long, sketch binary")
+    return found.dropDuplicates(["gid", "id"])  # a pair meets in most trees, but its sets need only come once
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -302,6 +303,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         groups = stored(candidates(leaf_rows(rows.withColumn("node", roots).select("node", "id", "n", "f1", "label", "sketch"), round_ > 0)), "candidates")
         sets = stored(whole_sets(docs, groups, id_col, text_col), "shingles")
         found = stored(verified(groups, sets), "links")
+        forget(docs.sparkSession, "node-stats", "nodes", "candidates", "shingles")
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
     return sigs, classes, labels
