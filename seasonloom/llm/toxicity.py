@@ -1,13 +1,14 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Words are runs of letters in lower case. The vocabulary is what tells the labels apart: words whose document counts in
-toxic and other examples differ by a log-likelihood ratio far beyond chance. Examples are vectors of (1 + log tf) * idf
-over it, of length 1. Examples with equal vectors share an entry of the index, which keeps their count and toxic count.
-Each word's postings hold its weights by entry in blocks, with each block's greatest weight. A query adds these maxima
-by block, takes the blocks from the highest sum on and stops when no block can still reach its k-th best cosine: the
-nearest entries are exact. Their votes, weighted by nearness, give a share that a table learned on the examples
-themselves (each left out of its own entry) turns into a probability; texts without a vocabulary word get the share of
-such examples. Evidence is the nearest entries' first doc_id, cosine and share of toxic examples.
+Words are runs of letters in lower case; all words of the examples count. Examples are vectors of (1 + log tf) * idf *
+weight, of length 1: words whose document counts in toxic and other examples differ by a log-likelihood ratio far beyond
+chance have weight 1, others less, down to a hundredth. Examples with equal vectors share an entry of the index, which
+keeps their count and toxic count. The entries stand in blocks, with each common word's greatest weight by block and
+the postings of rarer words. A query adds these maxima by block, takes the highest blocks first and then all that can
+still reach its k-th best cosine: the nearest entries are exact. Their votes, weighted by nearness, give a share that a
+table learned on the examples themselves (each left out of its own entry) turns into a probability; texts without any
+word of the examples get the share of such examples. Evidence is the nearest entries' first doc_id, cosine and share of
+toxic examples.
 
 Null and empty texts hold no word. Without labelled rows all scores are 0. Whole texts count; repeated rows are scored
 alike; ties in nearness go to the entry with the smaller doc_id.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from seasonloom.llm.common import doc_hash, fitted, labelled_sample
 
-#: Bound of the labelled examples; nearest entries that vote; entries of a block; log-likelihood ratio and count of a vocabulary word.
-EXAMPLES, NEAREST, BLOCK, LEAST_RATIO, LEAST_COUNT = 8000, 10, 64, 30.0, 5
+#: Bound of the labelled examples; nearest entries that vote; entries of a block; words with a full row in the index; texts scored together.
+EXAMPLES, NEAREST, BLOCK, COMMON, TOGETHER = 8000, 10, 64, 400, 64
+#: Log-likelihood ratio at which a word has its whole idf; count below which none is trusted; least share of idf.
+FULL_RATIO, LEAST_COUNT, LEAST_WEIGHT = 30.0, 3, 0.01
 LETTERS = regex.compile(r"\p{L}+")
 
 
@@ -47,43 +50,91 @@ def ratio(a: int, n: int, b: int, m: int) -> float:
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks, by word: weights of the block's entries, and their greatest."""
+    """Unit vectors in blocks: of rare words their postings, of the most common ones all weights and each block's greatest.
+
+    Entries that share their most common word stand together, so that a block's greatest weights are close to its others.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
         self.n, self.block = len(vectors), block
         self.n_blocks = -(-self.n // block)
-        self.postings: dict[int, dict[int, tuple]] = {}
-        for entry, vector in enumerate(vectors):
-            for word, weight in vector.items():
-                spots, weights = self.postings.setdefault(word, {}).setdefault(entry // block, ([], []))
-                spots.append(entry % block)
-                weights.append(weight)
-        self.most = {}
-        for word, blocks in self.postings.items():
-            row = np.zeros(self.n_blocks)
-            for b, (spots, weights) in blocks.items():
-                row[b] = max(weights)
-                blocks[b] = (np.array(spots), np.array(weights))
-            self.most[word] = row
+        size = np.array([len(v) for v in vectors], dtype=np.int64)
+        entry = np.repeat(np.arange(self.n), size)
+        word = np.fromiter((w for v in vectors for w in v), dtype=np.int64, count=len(entry))
+        weight = np.fromiter((x for v in vectors for x in v.values()), dtype=float, count=len(entry))
+        often = np.bincount(word)
+        top = np.full(self.n, -1)
+        by_count = np.lexsort((word, often[word]))
+        top[entry[by_count]] = word[by_count]  # the last one written is an entry's most common word
+        self.of_spot = np.lexsort((np.arange(self.n), top))
+        spot = np.argsort(self.of_spot)[entry]
+        order = np.lexsort((spot, word))
+        self.spot, self.weight = spot[order], weight[order]
+        self.first = np.append(0, np.cumsum(often))  # a word's postings are first[w] to first[w + 1]
+        frequent = np.flatnonzero(often > max(self.n // 32, block // 4))
+        self.common = frequent[np.argsort(-often[frequent], kind="stable")][:COMMON]
+        self.opened()
+
+    def opened(self) -> BlockMaxIndex:
+        """With the tables that follow from the postings, which are not sent along."""
+        self.row = {w: k for k, w in enumerate(self.common.tolist())}
+        full = np.zeros((len(self.common), self.n_blocks * self.block))
+        for k, w in enumerate(self.common):
+            at = slice(self.first[w], self.first[w + 1])
+            full[k, self.spot[at]] = self.weight[at]
+        self.full = np.ascontiguousarray(full.reshape(len(self.common), self.n_blocks, self.block).swapaxes(0, 1))
+        self.most = self.full.max(2).T if self.n else np.zeros((len(self.common), 0))
+        return self
+
+    def plain(self) -> dict:
+        """What opened() needs."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "full", "most")}
 
     def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """The k entries of greatest product with query above 0, ties to the first entry, as (product, entry)."""
-        bound = np.zeros(self.n_blocks)
-        for word, weight in query.items():
-            if word in self.most:
-                bound += weight * self.most[word]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            product = np.zeros(self.block)
-            for word, weight in query.items():
-                hit = self.postings.get(word, {}).get(int(b))
-                if hit:
-                    product[hit[0]] += weight * hit[1]
-            best += [(-round(float(product[s]), 12), int(b) * self.block + int(s)) for s in np.flatnonzero(product > 0)]
-            best = sorted(best)[:k]
-        return [(-p, e) for p, e in best]
+        return self.nearest_of([query], k)[0]
+
+    def nearest_of(self, queries: list[dict[int, float]], k: int) -> list[list[tuple[float, int]]]:
+        """nearest() of each query: a block is read for those queries only that it can still give one of the k."""
+        if not self.n:
+            return [[] for _ in queries]
+        product = np.zeros((len(queries), self.n_blocks, self.block))
+        often = np.zeros((len(queries), len(self.common)))
+        for q, query in enumerate(queries):
+            at, weights, size = [], [], []
+            for w, x in query.items():
+                r = self.row.get(w)
+                if r is not None:
+                    often[q, r] = x
+                elif w < len(self.first) - 1:
+                    a, b = self.first[w], self.first[w + 1]
+                    at.append(slice(a, b))
+                    weights.append(x)
+                    size.append(b - a)
+            if at:
+                values = np.concatenate([self.weight[a] for a in at]) * np.repeat(weights, size)
+                product[q] = np.bincount(np.concatenate([self.spot[a] for a in at]), weights=values, minlength=product[q].size).reshape(product[q].shape)
+        bound = product.max(2) + often @ self.most
+        whole = np.zeros_like(product)
+        rank = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        first = (rank < 4) & (bound > 0)
+        self.read(first, product, often, whole)
+        flat = whole.reshape(len(queries), -1)
+        least = np.partition(flat, -k, axis=1)[:, -k] if k < flat.shape[1] else np.zeros(len(queries))
+        self.read(~first & (bound > 0) & (bound >= least[:, None] - 1e-11), product, often, whole)
+        out = []
+        for row, low in zip(flat, least):
+            near = np.flatnonzero((row > 0) & (row >= low - 1e-11))
+            value, entry = np.round(row[near], 12), self.of_spot[near]
+            best = np.lexsort((entry, -value))[:k]
+            out.append([(v, e) for v, e in zip(value[best].tolist(), entry[best].tolist()) if v > 0])
+        return out
+
+    def read(self, wanted: np.ndarray, product: np.ndarray, often: np.ndarray, whole: np.ndarray) -> None:
+        """Writes the products of the wanted (query, block) pairs to whole."""
+        for b in np.flatnonzero(wanted.any(0)):
+            q = np.flatnonzero(wanted[:, b])
+            whole[q, b] = product[q, b] + often[q] @ self.full[b]
 
 
 class Model:
@@ -97,11 +148,11 @@ class Model:
             counts[int(row[2] == 1)].update(bag.keys())
         clean = len(rows) - toxic
         self.vocab, idf = {}, []
-        for word, a in sorted(counts[1].items()):
-            b = counts[0][word]
-            if a + b >= LEAST_COUNT and ratio(a, toxic, b, clean) >= LEAST_RATIO:
-                self.vocab[word] = len(idf)
-                idf.append(math.log((1 + len(rows)) / (1 + a + b)) + 1)
+        for word in sorted(counts[0].keys() | counts[1].keys()):
+            a, b = counts[1][word], counts[0][word]
+            self.vocab[word] = len(idf)
+            told = min(1.0, ratio(a, toxic, b, clean) / FULL_RATIO) ** 2 if a + b >= LEAST_COUNT else 0.0
+            idf.append((math.log((1 + len(rows)) / (1 + a + b)) + 1) * max(LEAST_WEIGHT, told))
         self.idf = idf
         entries: dict[tuple, list] = {}
         bare = [0, 0]
@@ -115,12 +166,10 @@ class Model:
         self.index = BlockMaxIndex([self.vector(k) for k, _ in ordered])
         self.prior = (toxic + 0.5) / (len(rows) + 1) if rows else 0.0
         self.bare = (bare[1] + self.prior) / (bare[0] + 1) if rows else 0.0
-        self.kept: dict[tuple, tuple] = {}
         self.levels = self.calibrated(ordered)
-        self.kept.clear()
 
     def key(self, bag: Counter) -> tuple:
-        """A text's vocabulary words with counts."""
+        """A text's words with counts, as far as the examples have them."""
         return tuple(sorted((self.vocab[w], bag[w]) for w in self.vocab.keys() & bag.keys()))
 
     def vector(self, key: tuple) -> dict[int, float]:
@@ -144,43 +193,42 @@ class Model:
     def calibrated(self, ordered: list) -> list[tuple[float, float]]:
         """Votes of left-out examples in groups of rising share with their true share, made monotone (pool adjacent violators)."""
         votes = []
-        for entry, (key, (_, n, toxic)) in enumerate(ordered):
-            near = self.index.nearest(self.vector(key), NEAREST)
+        found = (n for a in range(0, len(ordered), TOGETHER) for n in self.index.nearest_of([self.vector(k) for k, _ in ordered[a : a + TOGETHER]], NEAREST))
+        for entry, ((_, (_, n, toxic)), near) in enumerate(zip(ordered, found)):
             if toxic:
                 votes.append((self.vote(near, (entry, 1)), toxic, toxic))
             if n > toxic:
                 votes.append((self.vote(near, (entry, 0)), n - toxic, 0))
         pools: list[list[float]] = []
         for v, n, toxic in sorted(votes):
-            pools.append([v * n, n, toxic])
+            if not pools or pools[-1][1] >= 20:
+                pools.append([0.0, 0, 0])
+            pools[-1] = [x + y for x, y in zip(pools[-1], (v * n, n, toxic))]
+        groups, pools = pools, []
+        for group in groups:
+            pools.append(group)
             while len(pools) > 1 and (pools[-1][1] < 20 or pools[-2][2] / pools[-2][1] >= pools[-1][2] / pools[-1][1]):
                 last = pools.pop()
                 pools[-1] = [x + y for x, y in zip(pools[-1], last)]
         return [(v / n, (toxic + self.prior) / (n + 1)) for v, n, toxic in pools]
 
-    def score(self, text: str | None) -> tuple[float, list]:
-        """A text's probability and evidence."""
-        found = words(text)
-        hits = self.vocab.keys() & set(found)
-        if not hits:
-            return self.bare, []
-        key = tuple(sorted((self.vocab[w], n) for w, n in Counter(w for w in found if w in hits).items()))
-        known = self.kept.get(key)
-        if known is None:
-            near = self.index.nearest(self.vector(key), NEAREST)
-            at, levels = self.vote(near), self.levels
-            share = float(np.interp(at, [x for x, _ in levels], [y for _, y in levels])) if levels else at
-            evidence = [{"doc_id": self.entries[e][0], "cosine": c, "toxic_share": self.entries[e][2] / self.entries[e][1]} for c, e in near]
-            known = self.kept[key] = (share, evidence)
-            if len(self.kept) > 100_000:
-                self.kept.clear()
-        return known
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list]]:
+        """Each text's probability and evidence."""
+        keys = [self.key(Counter(words(t))) for t in texts]
+        found = self.index.nearest_of([self.vector(k) for k in keys], NEAREST)
+        return [self.judged(near) if key else (self.bare, []) for key, near in zip(keys, found)]
+
+    def judged(self, near: list[tuple[float, int]]) -> tuple[float, list]:
+        """The probability and evidence that the nearest entries give."""
+        at, levels = self.vote(near), self.levels
+        share = float(np.interp(at, [x for x, _ in levels], [y for _, y in levels])) if levels else at
+        return share, [{"doc_id": self.entries[e][0], "cosine": c, "toxic_share": self.entries[e][2] / self.entries[e][1]} for c, e in near]
 
 
 def fit(rows: list[tuple]) -> bytes:
     """A pickled model of (doc_id, text, label) rows."""
     model = Model(rows)
-    return pickle.dumps({**model.__dict__, "index": model.index.__dict__})  # plain data: executors needn't import the package
+    return pickle.dumps({**model.__dict__, "index": model.index.plain()})  # plain data: executors needn't import the package
 
 
 def score(docs: DataFrame, model: bytes, key: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,11 +240,11 @@ def score(docs: DataFrame, model: bytes, key: str = "doc_id", text_col: str = "t
         scorer.__dict__.update(pickle.loads(shared.value))
         index = BlockMaxIndex.__new__(BlockMaxIndex)
         index.__dict__.update(scorer.index)
-        scorer.index = index
+        scorer.index = index.opened()
         for frame in frames:
-            for start in range(0, len(frame), 1000):
-                part = frame.iloc[start : start + 1000]
-                found = [scorer.score(t if isinstance(t, str) else None) for t in part["text"]]
+            for start in range(0, len(frame), TOGETHER):
+                part = frame.iloc[start : start + TOGETHER]
+                found = scorer.scores([t if isinstance(t, str) else None for t in part["text"]])
                 yield pd.DataFrame({"key": part["key"], "score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
     read = docs.select(F.col(key).alias("key"), F.col(text_col).alias("text"))

@@ -242,6 +242,15 @@ def test_toxicity_index_is_exact_and_catches_marked_documents(spark):
     assert none.agg(F.max("score")).first()[0] == 0
 
 
+def test_toxicity_finds_copies_without_associated_words(spark):
+    rng = random.Random(9)
+    rows = [(k, prose(rng, 40) + (" zorgle quibbus" if k % 5 == 0 and k != 35 else ""), int(k % 5 == 0)) for k in range(400)]
+    docs = documents(spark, [(900, rows[35][1], None), (901, rows[36][1], None), (902, "", None)])
+    found = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(rows)).collect()}
+    assert [(found[k].evidence[0].doc_id, round(found[k].evidence[0].cosine, 9), found[k].evidence[0].toxic_share) for k in (900, 901)] == [(35, 1.0, 1.0), (36, 1.0, 0.0)]
+    assert not found[902].evidence
+
+
 def test_min_cut_equals_enumeration():
     from itertools import product
 
