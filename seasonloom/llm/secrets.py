@@ -1,6 +1,6 @@
 r"""Secret scans with DataFrame functions only: fixed patterns, and a randomness test battery for other tokens.
 
-Patterns (kinds assign, access and hex) always count. Beside them, maximal runs of 24 or more characters of
+Patterns (kinds assign, access and hex) always count. Beside them, maximal runs of 16 or more characters of
 [A-Za-z0-9+/_-] are candidates; those that overlap a pattern's span are its own. A candidate's encoding is inferred
 from its letters (hex 16, base32 32, lower 36 and base64 64 symbols). Three tests look at it: the chi-squared
 statistic for uniform letters (written by the pairs of equal letters), the number of runs of one letter class, and the
@@ -30,7 +30,7 @@ PATTERNS = {
     "access": (r"AKIA[A-Z0-9]{12,}", 0, 16),
     "hex": (r"[0-9a-f]{32,}", 0, 32),
 }
-CANDIDATE, LEAST = r"[A-Za-z0-9+/_-]{24,}", 24
+CANDIDATE, LEAST = r"[A-Za-z0-9+/_-]{16,}", 16
 #: Null of a word-like token: chance of two equal letters in prose, and of a change of class between neighbours.
 TEXT_PAIRS, TEXT_CHANGES = 0.065, 0.15
 RATE, BIN_WIDTH, BINS = 0.01, 0.25, 200

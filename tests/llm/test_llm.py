@@ -137,6 +137,14 @@ def test_secrets_equal_patterns_and_find_random_tokens(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
 
 
+def test_secrets_of_sixteen_characters(spark):
+    rng = random.Random(11)
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20)) for _ in range(30)]
+    rows = [(k, f"here {t} ends", None) for k, t in enumerate(keys)] + [(k, prose(rng, 20) + " " + "".join(word(rng) for _ in range(6)), None) for k in range(100, 200)]
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(documents(spark, rows)).collect()}
+    assert sum(found[k] == ["random"] for k in range(30)) >= 28 and not any(found[k] for k in range(100, 200))
+
+
 def test_language_id_with_unseen_words(spark):
     rng = random.Random(4)
     parts = {"en": "the and ing tion with that er on".split(), "de": "der und sch ung mit das ein en".split(), "fr": "le la que eau ment avec des ou".split()}
