@@ -2,11 +2,11 @@ r"""Secret scans with DataFrame functions only: fixed patterns, and a randomness
 
 Patterns (kinds assign, access and hex) always count. Beside them, maximal runs of 16 or more characters of
 [A-Za-z0-9+/_-] are candidates; those that overlap a pattern's span are its own. A candidate's encoding is inferred
-from its letters (hex 16, base32 32, lower 36 and base64 64 symbols). Three tests look at it: the chi-squared
+from its letters without separators - and _ (hex 16, base32 32, lower 36, base62 62 and base64 64 symbols). Three tests look at it: the chi-squared
 statistic for uniform letters (written by the pairs of equal letters), the number of runs of one letter class, and the
 serial correlation of neighbouring code points. The first two give p-values under the null of a word-like token
 (letters as uneven as in prose, few changes of class), combined to one; the battery's p-value under the null of
-uniform random letters guards against sequences and other patterns. Word-like p-values, weighted by length (short
+uniform random letters, from statistics that are far off only, guards against sequences and other patterns. Word-like p-values, weighted by length (short
 tokens prove less), pass the step-up procedure for the false-discovery rate over all candidates of the data; its ranks
 come from counts in bins of log p, a table with a fixed number of rows.
 
@@ -58,34 +58,40 @@ def found_spans(text: Column, kind: str, pattern: str, group: int, least: int) -
 def battery(tokens: DataFrame) -> DataFrame:
     """tokens (with a column token) with encoding, log_p (of being word-like, length-weighted) and uniform_p."""
     t = F.col("token")
-    size = F.length(t).cast("double")
-    only = lambda letters: F.regexp_like(t, F.lit(f"^[{letters}]+$"))
-    tokens = tokens.withColumn("encoding", F.when(only("0-9a-f") | only("0-9A-F"), "hex").when(only("A-Z2-7"), "base32").when(only("a-z0-9") | only("A-Z0-9"), "lower").otherwise("base64"))
-    k = F.element_at(F.create_map(*[F.lit(x) for x in ("hex", 16.0, "base32", 32.0, "lower", 36.0, "base64", 64.0)]), F.col("encoding"))
-    code = F.transform(F.split(t, ""), lambda c: F.ascii(c).cast("double"))
-    classes = F.translate(t, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "a" * 26 + "A" * 26 + "0" * 10 + "----")
-    tokens = tokens.withColumn("size", size).withColumn("k", k).withColumn("code", code)
+    # separators tell nothing of the alphabet: the rest does, and is what must look uniform
+    bare = F.translate(t, "-_", "")
+    only = lambda letters: F.regexp_like(bare, F.lit(f"^[{letters}]+$"))
+    tokens = tokens.withColumn("encoding", F.when(only("0-9a-f") | only("0-9A-F"), "hex").when(only("A-Z2-7"), "base32").when(only("a-z0-9") | only("A-Z0-9"), "lower").when(only("A-Za-z0-9"), "base62").otherwise("base64"))
+    of = lambda numbers: F.element_at(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv]), F.col("encoding"))
+    k = of({"hex": 16.0, "base32": 32.0, "lower": 36.0, "base62": 62.0, "base64": 64.0})
+    change = of({"hex": 0.469, "base32": 0.305, "lower": 0.401, "base62": 0.622, "base64": 0.65})
+    tokens = tokens.withColumn("bare", bare).withColumn("code", F.transform(F.split(F.col("bare"), ""), lambda c: F.ascii(c).cast("double")))
     # equal pairs, from each letter's count
     alphabet = [chr(x) for x in (*range(48, 58), *range(65, 91), *range(97, 123))] + ["+", "/", "_", "-"]
-    counts = F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: size - F.length(F.replace(t, c, F.lit(""))))
-    tokens = tokens.withColumn("pairs", F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * (n - 1)))
-    tokens = tokens.withColumn("changes", F.regexp_count(classes, F.lit(r"(?<=(.))(?!\1|$)")).cast("double"))
-    mean = F.aggregate("code", F.lit(0.0), lambda s, x: s + x) / F.col("size")
+    pairs = lambda text: F.aggregate(F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double")), F.lit(0.0), lambda s, n: s + n * (n - 1))
+    classes = lambda text: F.translate(text, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "a" * 26 + "A" * 26 + "0" * 10 + "----")
+    changes = lambda text: F.regexp_count(classes(text), F.lit(r"(?<=(.))(?!\1|$)")).cast("double")
+    tokens = tokens.withColumn("pairs", pairs(t)).withColumn("changes", changes(t)).withColumn("bare_pairs", pairs(F.col("bare"))).withColumn("bare_changes", changes(F.col("bare")))
+    m = F.greatest(F.length("bare"), F.lit(2)).cast("double")
+    mean = F.aggregate("code", F.lit(0.0), lambda s, x: s + x) / m
     tokens = tokens.withColumn("mean", mean)
     tokens = tokens.withColumn("spread", F.aggregate("code", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))))
-    n = F.col("size")
-    ahead = F.aggregate(F.zip_with(F.slice("code", 1, F.length(t) - 1), F.slice("code", 2, F.length(t) - 1), lambda a, b: (a - F.col("mean")) * (b - F.col("mean"))), F.lit(0.0), lambda s, x: s + x)
-    serial = F.coalesce(F.try_divide(ahead, F.col("spread")) * F.sqrt(n), F.sqrt(n))
-    chance = {"hex": 0.469, "base32": 0.305, "lower": 0.401, "base64": 0.65}
-    change = F.element_at(F.create_map(*[F.lit(x) for kv in chance.items() for x in kv]), F.col("encoding"))
-    uniform_pairs = (F.col("pairs") - n * (n - 1) / k) / F.sqrt(2 * n * (n - 1) / k * (1 - 1 / k))
-    uniform_runs = (F.col("changes") - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change))
-    worst = F.greatest(F.abs(uniform_pairs), F.abs(uniform_runs), F.abs(serial))
+    rest = F.greatest(F.length("bare") - 1, F.lit(0))
+    ahead = F.aggregate(F.zip_with(F.slice("code", F.lit(1), rest), F.slice("code", F.lit(2), rest), lambda a, b: (a - F.col("mean")) * (b - F.col("mean"))), F.lit(0.0), lambda s, x: s + x)
+    serial = F.coalesce(F.try_divide(ahead, F.col("spread")), F.lit(1.0))
+    # a statistic counts against uniform letters if it is far off, not only surely off: long tokens are never quite uniform
+    share = F.col("bare_pairs") * k / (m * (m - 1))
+    moved = F.col("bare_changes") / (m - 1) - change
+    uniform_pairs = F.when(~share.between(0.5, 2.0), F.abs(share - 1) * F.sqrt(m * (m - 1) / (2 * (k - 1))))
+    uniform_runs = F.when(F.abs(moved) > 0.2, F.abs(moved) * F.sqrt((m - 1) / (change * (1 - change))))
+    uniform_serial = F.when(F.abs(serial) > 0.3, F.abs(serial) * F.sqrt(m))
+    worst = F.greatest(F.lit(0.0), uniform_pairs, uniform_runs, uniform_serial)
+    n = F.length(t).cast("double")
     text_pairs = (F.col("pairs") - n * (n - 1) * TEXT_PAIRS) / F.sqrt(2 * n * (n - 1) * TEXT_PAIRS + 4 * n * n * n * TEXT_PAIRS * 0.02)
     text_runs = (F.col("changes") - (n - 1) * TEXT_CHANGES) / F.sqrt((n - 1) * TEXT_CHANGES * (1 - TEXT_CHANGES))
     z = (text_runs - text_pairs) / F.sqrt(F.lit(2.0))
     tokens = tokens.withColumn("log_p", log_tail(z) - F.log(F.least(F.lit(2.0), n / 40.0)))
-    return tokens.withColumn("uniform_p", F.least(F.lit(1.0), 6 * F.exp(log_tail(worst)))).drop("size", "k", "code", "pairs", "changes", "mean", "spread")
+    return tokens.withColumn("uniform_p", F.least(F.lit(1.0), 6 * F.exp(log_tail(worst)))).drop("bare", "code", "pairs", "changes", "bare_pairs", "bare_changes", "mean", "spread")
 
 
 def log_tail(z: Column) -> Column:

@@ -145,6 +145,17 @@ def test_secrets_of_sixteen_characters(spark):
     assert sum(found[k] == ["random"] for k in range(30)) >= 28 and not any(found[k] for k in range(100, 200))
 
 
+def test_uniformity_guard_spares_long_random_tokens(spark):
+    rng = random.Random(12)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"prefixed": lambda: "key-" + pick(lower + digits, 100), "grouped": lambda: "-".join(pick(digits + "ABCDEF", 8) for _ in range(8)), "long": lambda: pick(lower + upper + digits, 2500)}
+    rows = [(kind, make()) for kind, make in kinds.items() for _ in range(30)] + [("sequence", (lower + digits) * 2), ("sequence", digits * 5)]
+    tested = secrets.battery(spark.createDataFrame(rows, "kind string, token string")).collect()
+    passed = Counter(r.kind for r in tested if r.uniform_p >= secrets.UNIFORM_P)
+    assert all(passed[kind] == 30 for kind in kinds) and not passed["sequence"]
+
+
 def test_language_id_with_unseen_words(spark):
     rng = random.Random(4)
     parts = {"en": "the and ing tion with that er on".split(), "de": "der und sch ung mit das ein en".split(), "fr": "le la que eau ment avec des ou".split()}
