@@ -107,10 +107,14 @@ def zoned(coefficients: DataFrame, clim: DataFrame, history: DataFrame, future:
     """
     part = lambda df, kind, **columns: df.select("ID", F.lit(kind).alias("kind"), *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in TAGGED])
     first = F.lit(f"{span[0]}-01-01").cast("date")
+    # the days that the longest lag among the recipes can ask for, by location
+    longest = F.max(F.coalesce(F.regexp_extract("feature_name", "_lag([0-9]+)$", 1).try_cast("int"), F.lit(0)))
+    reach = coefficients.where("coeff is not null").groupBy("ID").agg(longest.alias("reach"))
+    recent = history.join(reach, "ID").where(F.col("FECHA") >= F.date_sub(first, F.col("reach")))
     tagged = (
         part(coefficients.where("coeff is not null"), "c", doy=F.col("doy"), feature_name=F.col("feature_name"), a=F.col("coeff"))
         .unionByName(part(clim, "m", doy=F.col("doy"), a=F.col("TD_clim"), b=F.col("TMIN_clim")))
-        .unionByName(part(history.where(F.col("FECHA") >= F.date_sub(first, 31)), "h", FECHA=F.col("FECHA"), a=F.col("TD"), b=F.col("TMIN")))
+        .unionByName(part(recent, "h", FECHA=F.col("FECHA"), a=F.col("TD"), b=F.col("TMIN")))
         .unionByName(part(future.where(F.year("FECHA").between(*span)), "f", FECHA=F.col("FECHA"), b=F.col("TMIN")))
     )
 

@@ -135,6 +135,15 @@ def test_metrics_recover_injected_differences(spark):
     assert metrics.agreement(flat, b).first().r is None
 
 
+def test_zoned_forecast_reaches_back_to_the_longest_lag(spark):
+    coef = spark.createDataFrame([(1, d, n, v) for d in range(1, 4) for n, v in (("const", 1.0), ("TD_anom_lag60", 0.5))], "ID long, doy int, feature_name string, coeff double")
+    clim = spark.createDataFrame([(1, d, 10.0, 5.0) for d in range(1, 367)], "ID long, doy int, TD_clim double, TMIN_clim double")
+    hist = spark.createDataFrame([(1, dt.date(2001, 1, k) - dt.timedelta(60), 10.0 + k, 7.0) for k in (1, 2, 3)], "ID long, FECHA date, TD double, TMIN double")
+    future = spark.createDataFrame([(1, dt.date(2001, 1, 1), 5.0)], "ID long, FECHA date, TMIN double")
+    got = {r.FECHA.day: r.TD_predicted for r in forecast.zoned(coef, clim, hist, future, (2001, 2001)).collect()}
+    assert got == {1: pytest.approx(11.5), 2: pytest.approx(12.0), 3: pytest.approx(12.5)}
+
+
 def test_bootstrap_covers_the_point_and_is_seeded(spark):
     rng = np.random.default_rng(1)
     rows = [(i, float(9 + rng.random()), 10, float(14 + rng.random()), 10) for i in range(200)]
