@@ -120,7 +120,9 @@ def fit(rows: list[tuple]) -> bytes:
     weight = np.where(label == 1, 0.5 / max(counts[1], 1), 0.5 / max(counts[0], 1))  # both labels count alike
     first = np.concatenate([[True], line_doc[1:] != line_doc[:-1]])
     place = np.arange(len(label)) - np.maximum.accumulate(np.where(first, np.arange(len(label)), 0))
-    rounds = [np.flatnonzero(place == k) for k in range(min(int(place.max(initial=0)) + 1, 200))] if len(label) else []
+    by_place = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[by_place], np.arange(int(place.max(initial=-1)) + 2))
+    rounds = [by_place[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
     grown, step_grown, bias, bias_grown = np.full_like(emit, 1e-6), np.full_like(step, 1e-6), 0.0, 1e-6
     for _ in range(STEPS):
         score = np.stack([np.zeros(len(label)), emit[levels].sum(1) + bias], axis=1)

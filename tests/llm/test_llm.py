@@ -228,6 +228,16 @@ def test_rule_figures_equal_brute_force(spark):
         assert r.base_failed == (len(w) < 20 or 100 * len(cover) > 30 * len(w))
 
 
+def test_rule_weights_of_long_documents_do_not_depend_on_direction():
+    import pickle
+
+    rng = random.Random(13)
+    texts = [[f"{prose(rng, 1 + k % 5)} {k}" if k < 200 + 20 * label else f"{k} !! ## {k}" for k in range(300)] for label in (0, 1)]
+    model = lambda turn: pickle.loads(rules.fit([(k, "\n".join(t[::turn]), k) for k, t in enumerate(texts)]))
+    (emit, step, _), (emit2, step2, _) = model(1), model(-1)
+    assert np.allclose(emit, emit2, atol=1e-6) and np.allclose(step, step2.T, atol=1e-6)
+
+
 def test_viterbi_equals_enumeration():
     from itertools import product
 
