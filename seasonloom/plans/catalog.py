@@ -238,9 +238,8 @@ def zoned_fit_two_features(spark, sf):
 
 @query()
 def zone_selection(spark, sf):
-    """Recipes selected by zone from a small pool (whole-zone units)."""
-    tuning = TuningConfig(FitConfig(features=TWO), ("const", "TMIN_anom", "TMIN_anom_lag1", "TD_anom_lag1"), (11,), granularity="zone", per_zone_n=50)
-    return r6(selection.select(daily(spark, sf), zones(spark, sf), tuning))
+    """Recipes selected by zone and day, with the defaults of tuning."""
+    return r6(selection.select(daily(spark, sf), zones(spark, sf), TuningConfig()))
 
 
 @query(with_(ZONES_SQL) + "SELECT zone_id, count(*) AS n FROM zones GROUP BY 1")
@@ -554,14 +553,14 @@ def win_fraction_cohens_d(spark, sf):
 @query()
 def bootstrap_delta_rmse(spark, sf):
     """Bootstrap limits of the gain over climatology."""
-    return r6(inference.bootstrap(inference.per_id_errors(ladder(spark, sf), TWO_METHODS), "tuned", "climatology", 400))
+    return r6(inference.bootstrap(inference.per_id_errors(ladder(spark, sf), TWO_METHODS), "tuned", "climatology", 1000))
 
 
 @query()
 def sign_flip_test(spark, sf):
     """Permutation test of the gain over climatology."""
     e = inference.per_id_errors(ladder(spark, sf), TWO_METHODS)
-    return r6(inference.sign_flip(inference.location_deltas(e, "tuned", "climatology"), 1000))
+    return r6(inference.sign_flip(inference.location_deltas(e, "tuned", "climatology"), 5000))
 
 
 # ---- space, layout and scaling

@@ -166,6 +166,21 @@ def test_selection_finds_the_planted_feature(spark):
     assert j[0] < 1e-6 and j[1] == z.count() == t.count()
 
 
+def test_registered_selection_and_tests_do_the_whole_job(monkeypatch):
+    from seasonloom.plans import catalog
+
+    seen = []
+    for name in ("daily", "zones", "ladder", "r6"):
+        monkeypatch.setattr(catalog, name, lambda *a: None)
+    for module, name in ((catalog.selection, "select"), (catalog.inference, "bootstrap"), (catalog.inference, "sign_flip")):
+        monkeypatch.setattr(module, name, lambda *a: seen.append(a[-1]))
+    for name in ("per_id_errors", "location_deltas"):
+        monkeypatch.setattr(catalog.inference, name, lambda *a: None)
+    for name in ("zone_selection", "bootstrap_delta_rmse", "sign_flip_test"):
+        catalog.queries()[name](None, "")
+    assert seen == [TuningConfig(), 1000, 5000]
+
+
 def test_sources_and_sinks_round_trip(spark, tmp_path):
     for var, name in (("td", "TD"), ("tmin_v12", "TMIN")):
         rows = readers.synthetic_raw(spark, 6, (2001, 2001), name).withColumn("source_file", F.lit("x"))
