@@ -51,12 +51,12 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row."""
+    """doc_id, n_tokens, ids and the digest of the decoded text of every row."""
     import public_tokenizers
 
     release(spark)
-    found = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=False)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    found = bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("secret_scans", secret_scans), ("source_mixing", source_mixing), ("tokens", tokens)]

@@ -366,5 +366,13 @@ def test_pipeline_stages(spark):
     assert tokens.count() == at.count() and tokens.where("n_tokens = size(ids)").count() == at.count()
 
 
+def test_pipeline_decodes_its_ids(spark):
+    import corpus_pipeline
+
+    texts = ["plain words", "größer 😀  two\n", "", None]
+    found = {r.doc_id: r for r in corpus_pipeline.tokens(spark, documents(spark, [(k, t, None) for k, t in enumerate(texts)]), "").collect()}
+    assert all(found[k].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest() for k, t in enumerate(texts))
+
+
 def test_digests_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
