@@ -1,19 +1,22 @@
 """Byte-level BPE with a tokenization automaton.
 
 The merges of a vocabulary compile into a deterministic automaton over tokens: it begins as one state with an arc for
-each byte, and each merge (a, b) -> ab is a gadget that, for every state q with an arc a to a state s with an arc b,
-gives q an arc ab to b's target and points q's arc a to a copy of s without b. What s allows thus depends only on the
-token that led to it, so the states are kept by their last token, as the copy made at that token's merge plus the arcs
-removed since; the transition table is filled from them as words ask for it. A word's tokens are the one path of the
-automaton whose labels spell it; decoding emits the labels.
+each byte, and each merge (a, b) -> ab, in order, is a gadget: the state that a leads to loses its arc b and all arcs of
+later tokens that begin with b, and ab gets arcs wherever a has one, to a copy of the state that b leads to. What a state
+allows depends only on the token that led to it, so there is one state a token; its row of the transition table holds the
+intervals of tokens that it has no arc for. A word's tokens are the one path whose labels spell it, found in one pass over
+its bytes; decoding emits the labels.
 
 Null text counts as empty (no ids). Repeated rows give repeated results; only the named columns are read, so extra
-columns pass by. A text of any length is encoded whole.
+columns pass by. A text of any length is encoded whole, as is a word of any length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import os
+from array import array
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +28,6 @@ WHITE = r"\x09-\x0D\x20\x85\xA0  -     　"
 PRE_SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Words whose tokens a worker keeps, and the longest word that it keeps.
 KEPT_WORDS, KEPT_LENGTH = 250_000, 48
-#: Rests of words that a worker keeps, and the longest word that is split by way of them.
-KEPT_TAILS, LONG_WORD = 200_000, 200
 ROWS_OUT = 256
 
 
@@ -39,36 +40,74 @@ def byte_letters() -> dict[str, int]:
     return letters
 
 
+def compiled(data: bytes) -> dict:
+    """The automaton of a tokenizers JSON file (byte-level BPE) as tables: built once, on the driver, before the first text.
+
+    Tokens stand in an order in which those that begin with a token, by their merges, follow it, latest first: whatever a
+    gadget takes away from a state is one interval of places. ids: by label; place: by token; row, cuts: by token the
+    sorted ends of the intervals of places that its state has no arc for, as one array and where each token's begin.
+    """
+    spec = json.loads(data)
+    letters = byte_letters()
+    vocab = spec["model"]["vocab"]
+    specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+    merges = [(vocab[x], vocab[y], vocab[x + y]) for x, y in merges]
+    n = 1 + max([*vocab.values(), *specials.values()])
+    labels = [b""] * n
+    for text, i in vocab.items():
+        labels[i] = bytes(letters[c] for c in text)
+    room = [1] * n  # a token and all that begin with it
+    for first, _, made in reversed(merges):
+        room[first] += room[made]
+    born = [False] * n
+    place, at, left = [0] * n, 0, room[:]
+    results = {made for _, _, made in merges}
+    for i in vocab.values():
+        if len(labels[i]) == 1 and i not in results:
+            born[i], place[i], at = True, at, at + room[i]
+    cuts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for first, second, made in merges:
+        spot = place[second]
+        if not (born[first] and born[second]) or any(x <= spot < y for x, y in cuts[first]):
+            continue  # an earlier merge keeps the two apart: this one never happens
+        gone = (spot, spot + left[second])
+        if not born[made]:
+            cuts[made] = cuts[second][:]  # the copied state; what follows now is taken from the original alone
+            place[made] = place[first] + left[first] - room[made]
+            born[made] = True
+        left[first] -= room[made]
+        cuts[first].append(gone)
+    flat: list[int] = []
+    row = [0]
+    for own in cuts:
+        merged: list[int] = []
+        for x, y in sorted(own):
+            if merged and x <= merged[-1]:
+                merged[-1] = max(merged[-1], y)
+            else:
+                merged += (x, y)
+        flat += merged
+        row.append(len(flat))
+    for text, i in specials.items():
+        labels[i] = text.encode()
+    return {"labels": labels, "ids": {labels[i]: i for i in vocab.values() if born[i]}, "specials": specials, "place": array("i", place), "row": array("i", row), "cuts": array("i", flat)}
+
+
 class MergeAutomaton:
-    """The compiled automaton of a tokenizers JSON file (byte-level BPE)."""
-
-    def __init__(self, data: bytes):
-        spec = json.loads(data)
-        letters = byte_letters()
-        spell = lambda token: bytes(letters[c] for c in token)
-        vocab = spec["model"]["vocab"]
-        self.ids = {spell(t): i for t, i in vocab.items()}
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = 1 + max([*vocab.values(), *self.specials.values()])
-        self.labels = [b""] * size
-        for label, i in self.ids.items():
-            self.labels[i] = label
-        for text, i in self.specials.items():
-            self.labels[i] = text.encode()
-        self.longest = max(map(len, self.ids))
+    """The automaton that compiled() has built, made ready to run."""
+
+    def __init__(self, tables: dict):
+        self.ids, self.specials, self.labels, self.place = tables["ids"], tables["specials"], tables["labels"], tables["place"]
+        row, cuts = tables["row"], tables["cuts"]
+        self.cuts = [cuts[a:b] for a, b in zip(row, row[1:])]  # by state: the state of a token is what may follow it
         self.trie: dict = {}
         for label, i in self.ids.items():
             node = self.trie
             for byte in label:
                 node = node.setdefault(byte, {})
             node[-1] = i
-        self.tails: dict[tuple[int, bytes], tuple[int, ...] | None] = {}
-        self.born, self.first, self.second, self.merged = [-1] * size, [0] * size, [0] * size, {}
-        for when, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.gadget(when, vocab[a], vocab[b], vocab[a + b])
         self.marks = {c: self.ids[c.encode()] for c in ".,;:!?" if c.encode() in self.ids}
-        self.table: dict[int, bool] = {}
         self.kept: dict[str, tuple[int, ...]] = {}  # what follows a blank
         self.words: dict[str, tuple[int, ...]] = {}
         import regex
@@ -76,97 +115,35 @@ class MergeAutomaton:
         self.split = regex.compile(PRE_SPLIT).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
-    def gadget(self, when: int, a: int, b: int, ab: int) -> None:
-        """One merge: a's state loses the arc b from now on; ab's state is b's as it is now."""
-        self.merged[a, b] = when
-        self.born[ab], self.first[ab], self.second[ab] = when, a, b
-
     def has_arc(self, state: int, token: int) -> bool:
-        """Whether the state after one token has an arc for another, by the gadgets that made the two."""
-        key = state << 20 | token
-        if (known := self.table.get(key)) is None:
-            known = self.table[key] = self._has_arc(state, token)
-        return known
-
-    def _has_arc(self, state: int, token: int) -> bool:
-        born, time = self.born, 1 << 60
-        while True:
-            if self.merged.get((state, token), time) < time:
-                return False
-            if born[state] >= 0 and born[state] >= born[token]:
-                time = min(time, born[state])
-                state = self.second[state]
-            elif born[token] >= 0:
-                time = min(time, born[token] + 1)
-                token = self.first[token]
-            else:
-                return True
+        """Whether the state after one token has an arc for another: its place isn't in a cut."""
+        return not bisect_right(self.cuts[state], self.place[token]) & 1
 
     def path(self, word: bytes) -> tuple[int, ...]:
-        """The tokens of one pre-split word."""
-        return self.tail(-1, word) if len(word) <= LONG_WORD else tuple(self.searched_path(word))
+        """The tokens of one pre-split word: the one path of the automaton that spells it.
 
-    def tail(self, before: int, rest: bytes) -> tuple[int, ...] | None:
-        """The path of a word's rest from the state after a token, longest arcs first; None from a dead end.
-
-        Rests that were met before, in any word, are looked up.
+        Every prefix has one path too, so the places of the word are passed once, in order: each holds the last token of
+        its prefix's path, whose state has an arc for the tokens that lead on. Nothing is tried again.
         """
-        if before >= 0:
-            found = self.tails.get((before, rest), False)
-            if found is not False:
-                return found
-        node, ends, at = self.trie, [], 0
-        for byte in rest:
-            node = node.get(byte)
-            if node is None:
-                break
-            at += 1
-            if (token := node.get(-1)) is not None:
-                ends.append((at, token))
-        found, n, table = None, len(rest), self.table
-        for at, token in reversed(ends):
-            if before >= 0:
-                arc = table.get(before << 20 | token)
-                if arc is None:
-                    arc = self.has_arc(before, token)
-                if not arc:
-                    continue
-            if at == n:
-                found = (token,)
-                break
-            after = self.tail(token, rest[at:])
-            if after is not None:
-                found = (token, *after)
-                break
-        if before >= 0:
-            if len(self.tails) >= KEPT_TAILS:
-                self.tails.clear()
-            self.tails[before, rest] = found
-        return found
-
-    def searched_path(self, word: bytes) -> list[int]:
-        """The same by depth-first search over the arcs; what has failed once isn't tried again."""
-        n, get, longest = len(word), self.ids.get, self.longest
-        ids: list[int] = []
-        ends, lengths, dead = [0], [min(n, longest)], set()
-        while (at := ends[-1]) < n:
-            before, length, token = ids[-1] if ids else -1, lengths[-1], None
-            while length:
-                token = get(word[at : at + length])
-                if token is not None and (before < 0 or self.has_arc(before, token)) and (at + length, token) not in dead:
+        whole = self.ids.get(word)
+        if whole is not None:
+            return (whole,)
+        n, place, cuts = len(word), self.place, self.cuts
+        last = [-1] * (n + 1)
+        for at in range(n):
+            node, row = self.trie, cuts[last[at]] if at else ()
+            for end in range(at, n):
+                node = node.get(word[end])
+                if node is None:
                     break
-                length -= 1
-            if length:
-                lengths[-1] = length - 1
-                ids.append(token)
-                ends.append(at + length)
-                lengths.append(min(n - at - length, longest))
-            else:
-                dead.add((at, before))
-                ids.pop()
-                ends.pop()
-                lengths.pop()
-        return ids
+                token = node.get(-1)
+                if token is not None and last[end + 1] < 0 and not bisect_right(row, place[token]) & 1:
+                    last[end + 1] = token
+        out = []
+        while n:
+            out.append(last[n])
+            n -= len(self.labels[last[n]])
+        return tuple(reversed(out))
 
     def keep(self, kept: dict, word: str, ids: tuple) -> tuple:
         """Remembers a word's ids, within bounds."""
@@ -229,23 +206,35 @@ class MergeAutomaton:
         return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def automaton(data: bytes) -> MergeAutomaton:
-    """The automaton of a vocabulary file, compiled once in a worker."""
-    cache, key = worker_cache(), ("bpe", len(data), hash(data))
+#: What compiled() has made of the vocabulary files of this process.
+COMPILED: dict[str, dict] = {}
+
+
+def tables_of(path: str) -> dict:
+    """The compiled tables of a vocabulary file."""
+    key = os.fspath(path)
+    if key not in COMPILED:
+        COMPILED[key] = compiled(read_file(path))
+    return COMPILED[key]
+
+
+def automaton(tables) -> MergeAutomaton:
+    """The automaton of broadcast tables, made ready once in a worker."""
+    cache, key = worker_cache(), ("bpe", tables.value["row"][-1], hash(tables.value["place"].tobytes()))
     if key not in cache:
-        cache[key] = MergeAutomaton(data)
+        cache[key] = MergeAutomaton(tables.value)
     return cache[key]
 
 
 def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """id_col, ids array<int>, decoded string: each whole text encoded, and (decode, else null) its ids decoded again. One scan, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_file(vocab_path))  # one vocabulary file, a few MB at any size of the data
+    shared = docs.sparkSession.sparkContext.broadcast(tables_of(vocab_path))  # of one vocabulary file, some MB at any size of the data
 
     def work(batches):
         import numpy as np
         import pyarrow as pa
 
-        bpe = automaton(shared.value)
+        bpe = automaton(shared)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_OUT):
                 part = batch.slice(start, ROWS_OUT)
@@ -262,11 +251,11 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
 
 def decode_ids(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """df with the decoded text of an array of ids; null ids decode to null."""
-    shared = df.sparkSession.sparkContext.broadcast(read_file(vocab_path))
+    shared = df.sparkSession.sparkContext.broadcast(tables_of(vocab_path))
 
     @F.pandas_udf("string")
     def decoded(ids):
-        bpe = automaton(shared.value)
+        bpe = automaton(shared)
         return ids.map(lambda x: None if x is None else bpe.decode(x))
 
     return df.withColumn(out_col, decoded(F.col(ids_col)))
