@@ -9,7 +9,7 @@ blocks are joined by (source, index), a key without hot values: a source with a
 its blocks, and streams are laid out in two levels of prefix sums (within hashed buckets, then over bucket totals).
 
 Null text has size 0; null source is a source of its own, last. Documents without words take nothing. Repeated rows
-and doc_ids are documents of their own. An empty table gives an empty result. Results depend on the data and the seed
+and doc_ids are documents of their own. Texts of any length are cut into as many blocks as they need. An empty table gives an empty result. Results depend on the data and the seed
 only, not on the partitions.
 """
 
@@ -133,9 +133,9 @@ def mix(rows: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     return {"shares": shares, "pieces": pieces.drop("start"), "slots": slots}
 
 
-def numbered(docs: DataFrame, *columns) -> DataFrame:
-    """row (a number, fixed by being stored), doc_id, source, size and columns of docs."""
-    return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *columns).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (a number, fixed by being stored), doc_id, source and size of docs."""
+    return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
@@ -150,17 +150,35 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     return found.alias("d").join(shares.alias("s"), same("d", "s", "source")).select("d.doc_id", "d.size", "s.source_size", "s.target", "d.taken")
 
 
+def fingerprint(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all of a row's columns: rows with the same two are equal."""
+    columns = [(F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in df.schema]
+    plain = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if "<" in kind else c for c, kind in columns]
+    return [F.xxhash64(F.lit(seed), *plain, *[c.isNull() for c, _ in columns]).alias(f"_key{seed}") for seed in (1, 2)]
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """docs (same columns) as the mix takes them: a document appears once for each turn of its source that takes words of
-    it, with these words in order, each with the white space behind it, as text and n_chars; whole texts stay as they are."""
-    rows = numbered(docs, F.struct(*docs.columns).alias("doc"))
-    plan = mix(rows.drop("doc"), **options)
+    it, with these words in order, each with the white space behind it, as text and n_chars; whole texts stay as they are.
+
+    The plan is made of numbers only. Texts are shuffled once, by a hash of their row, to meet what is taken of them;
+    equal rows are one row there, and documents of their own in the plan.
+    """
+    key = ["_key1", "_key2"]
+    whole = docs.select(*fingerprint(docs), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = whole.select(*key, "doc.doc_id", "doc.source", word_count(F.col("doc.text")).alias("size"))
+    rows = rows.groupBy(*key).agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    # numbers follow from the rows' contents, not from partitions
+    rows = stored(rows.select(F.struct(*key, "copy").alias("row"), "doc_id", "source", "size"), "mix-rows")
+    plan = mix(rows, **options)
     hit = plan["pieces"].alias("p").join(plan["slots"].alias("t"), same("p", "t", "source") & (F.col("p.block") == F.col("t.block")))
-    spans = hit.groupBy("row", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("spans"), F.sum("words").alias("taken"))  # bounded by a document's blocks
-    full = rows.join(spans, "row")
+    spans = hit.groupBy("row", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("spans"), F.sum("words").alias("taken"), F.max("size").alias("size"))  # bounded by a document's blocks
+    spans = spans.select(*[f"row.{k}" for k in key], "spans", "taken", "size")
+    full = whole.dropDuplicates(key).join(spans.hint("merge"), key)
     words = F.regexp_extract_all(F.col("doc.text"), F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))
     part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice("words_", (s["from_word"] + 1).cast("int"), s["words"].cast("int")))), "")
-    whole = F.col("taken") == F.col("size")
-    full = full.withColumn("words_", F.when(~whole, words)).withColumn("text_", F.when(whole, F.col("doc.text")).otherwise(part))
-    made = {"text": F.col("text_"), "n_chars": F.when(whole, F.col("doc.n_chars") if "n_chars" in docs.columns else F.lit(0)).otherwise(F.length("text_").cast("long"))}
-    return full.select(*[made[c].alias(c) if c in made else F.col(f"doc.{c}").alias(c) for c in docs.columns])
+    every = F.col("taken") == F.col("size")
+    full = full.withColumn("words_", F.when(~every, words)).withColumn("text_", F.when(every, F.col("doc.text")).otherwise(part))
+    made = {"text": F.col("text_"), "n_chars": F.when(every, F.col("doc.n_chars") if "n_chars" in docs.columns else F.lit(0)).otherwise(F.length("text_").cast("long"))}
+    return full.select(*[made[c].alias(c) if c in made else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
