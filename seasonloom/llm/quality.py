@@ -7,6 +7,7 @@ the layer is linear, a trained bucket adds one number to a document's difference
 
 The score is the probability of label 1. Empty and null texts score by the learned bias. Without labelled rows every
 score is 0.5. Whole texts count; each row is scored on its own (repeated rows alike); other columns pass by.
+Texts may be of any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ weights are fitted by gradient ascent on the likelihood of labelled documents, w
 label (bounded sample).
 
 Words are [^\x20\x09-\x0D]+, lines split at \n. Null text has no words and fails, as does empty text. Without labelled
-rows every line is content. Texts are read whole; each row is judged on its own; other columns pass by.
+rows every line is content. Texts are read whole, of any length; each row is judged on its own, repeated rows alike, but
+teaches once by doc_id; an empty table gives an empty result; other columns pass by.
 """
 
 from __future__ import annotations
