@@ -90,13 +90,13 @@ class TuningConfig:
             raise ValueError("h_grid is empty")
 
 
-#: Last training year and holdout years by lead.
+#: Fixed values of the model, as are the defaults of FitConfig and TuningConfig: last training year and holdout years by lead.
 SPLITS = {"ll1": (2015, (2016, 2016)), "ll2": (2014, (2015, 2016)), "ll4": (2012, (2013, 2016))}
 
 
-def doy_list(doys) -> list[int]:
-    """Days of year to work on: 1 to 366, sorted, once each; anything else is an error."""
-    found = sorted({int(d) for d in doys})
+def doy_list(doys, drop: bool = False) -> list[int]:
+    """Days of year to work on: 1 to 366, sorted, once each; anything else is an error, or with drop left out."""
+    found = sorted({int(d) for d in doys if not drop or 1 <= int(d) <= DOYS})
     if not found or found[0] < 1 or found[-1] > DOYS:
         raise ValueError("days of year must be 1 to 366, at least one")
     return found

@@ -56,8 +56,8 @@ def bucket_of(c: Column, buckets: int) -> Column:
 
 
 def bucket_name(c: Column, buckets: int) -> Column:
-    """A bucket as four digits, as folder names have it."""
-    return F.lpad(bucket_of(c, buckets).cast("string"), 4, "0")
+    """A bucket with four digits at least, as folder names have it; null for null."""
+    return F.when(c.isNotNull(), F.format_string("%04d", bucket_of(c, buckets)))
 
 
 def pearson(x: Column, y: Column) -> Column:

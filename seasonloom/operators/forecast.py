@@ -1,7 +1,7 @@
 """Autoregressive forecasts driven by a known exogenous series.
 
-Time runs in sequence within a location and locations run in parallel: one row per location holds its days as a sorted
-array, which a fold walks through.
+Time runs in sequence within a location and locations run in parallel: the standard recipe folds over one row per
+location that holds its days as a sorted array; recipes by zone walk through matrices of many locations.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from seasonloom.config import Feature
 from seasonloom.operators.series import last_rows
 from seasonloom.schema import PREDICTION
 
+#: Days that the recursion walks through at a time.
+PART = 32
+#: Locations that a zoned forecast walks through together, and the rows of its inputs that it holds for them at most.
+TOGETHER, ROWS = 512, 1_000_000
 STANDARD_COLUMNS = ("const_anom", "TMIN_anom_coeff", "TD_anom_lag1", "TD_anom_lag2", "TMIN_anom_lag1")
 
 
@@ -47,14 +51,22 @@ def recursive(coefficients: DataFrame, clim: DataFrame, history: DataFrame, futu
     day = F.struct(F.col("FECHA").alias("day"), base.alias("base"), F.col("TD_anom_lag1").alias("c1"), F.col("TD_anom_lag2").alias("c2"), F.col("TMIN_anom_lag1").alias("c3"), F.col("TMIN").alias("tmin"))
     days = predictable_days(coefficients, clim, future, span).groupBy("ID").agg(F.array_sort(F.collect_list(day)).alias("days"))
     seed = last_rows(history.select("ID", "FECHA", "TD", "TMIN"), 2).groupBy("ID").agg(F.max(F.when(F.col("rn") == 1, F.col("TD"))).alias("s1"), F.max(F.when(F.col("rn") == 2, F.col("TD"))).alias("s2"), F.max(F.when(F.col("rn") == 1, F.col("TMIN"))).alias("m1"), F.count(F.lit(1)).alias("rows")).where("rows = 2")
-    start = F.struct(F.col("s1").alias("lag1"), F.col("s2").alias("lag2"), F.col("m1").alias("tmin"), F.expr("cast(array() as array<struct<day: date, td: double>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<day: date, td: double>>)")
 
     def step(state: Column, x: Column) -> Column:
         value = x["base"] + x["c1"] * state["lag1"] + x["c2"] * state["lag2"] + x["c3"] * state["tmin"]
         # bound once, used three times
         return F.transform(F.array(value), lambda v: F.struct(v.alias("lag1"), state["lag1"].alias("lag2"), x["tmin"].alias("tmin"), F.concat(state["out"], F.array(F.struct(x["day"].alias("day"), v.alias("td")))).alias("out")))[0]
 
-    folded = days.join(seed, "ID").select("ID", F.explode(F.aggregate("days", start, step)["out"]).alias("p"))
+    def month(state: Column, k: Column) -> Column:
+        # days are gathered in parts, so that no long array is copied for each of them
+        begin = F.struct(state["lag1"].alias("lag1"), state["lag2"].alias("lag2"), state["tmin"].alias("tmin"), none.alias("out"))
+        walked = F.aggregate(F.slice("days", k * PART + 1, F.lit(PART)), begin, step)
+        return F.transform(F.array(walked), lambda w: F.struct(w["lag1"].alias("lag1"), w["lag2"].alias("lag2"), w["tmin"].alias("tmin"), F.concat(state["out"], F.array(w["out"])).alias("out")))[0]
+
+    start = F.struct(F.col("s1").alias("lag1"), F.col("s2").alias("lag2"), F.col("m1").alias("tmin"), F.expr("cast(array() as array<array<struct<day: date, td: double>>>)").alias("out"))
+    parts = F.sequence(F.lit(0), F.ceil(F.size("days") / PART).cast("int") - 1)
+    folded = days.join(seed, "ID").select("ID", F.explode(F.flatten(F.aggregate(parts, start, month)["out"])).alias("p"))
     return folded.select(F.col("p.day").alias("FECHA"), "ID", F.col("p.td").alias("TD_predicted"))
 
 
@@ -100,10 +112,10 @@ def forecast_group(coefficients: pd.DataFrame, clim: pd.DataFrame, history: pd.D
 
 
 def zoned(coefficients: DataFrame, clim: DataFrame, history: DataFrame, future: DataFrame, span: tuple[int, int]) -> DataFrame:
-    """FECHA, ID, TD_predicted by tidy coefficients (ID, doy, feature_name, coeff), one location at a time on the executors.
+    """FECHA, ID, TD_predicted by tidy coefficients (ID, doy, feature_name, coeff): lags by calendar days, any features.
 
-    The four inputs meet by a tag in one grouping by ID, so they are shuffled once each; a location's rows are bounded
-    by its recipe and its days.
+    The four inputs meet by a tag in one shuffle by ID; a location's rows are bounded by its recipe and its days, and
+    some hundred locations at a time walk through the days together. One day without recipe or inputs is skipped.
     """
     part = lambda df, kind, **columns: df.select("ID", F.lit(kind).alias("kind"), *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in TAGGED])
     first = F.lit(f"{span[0]}-01-01").cast("date")
@@ -118,15 +130,89 @@ def zoned(coefficients: DataFrame, clim: DataFrame, history: DataFrame, future:
         .unionByName(part(future.where(F.year("FECHA").between(*span)), "f", FECHA=F.col("FECHA"), b=F.col("TMIN")))
     )
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        of = {k: g for k, g in frame.groupby("kind")}
-        none = frame.iloc[:0]
-        c = of.get("c", none).rename(columns={"a": "coeff"})
-        m = of.get("m", none).rename(columns={"a": "TD_clim", "b": "TMIN_clim"})
-        h, f = (of.get(k, none).rename(columns={"a": "TD", "b": "TMIN"}) for k in "hf")
-        return forecast_group(c, m, h, f, span)
-
-    return tagged.groupBy("ID").applyInPandas(work, PREDICTION)
+    def work(frames):
+        for frame in batches_of_locations(frames):
+            yield forecast_batch(frame, span)
+
+    return tagged.repartition("ID").sortWithinPartitions("ID").mapInPandas(work, PREDICTION)
+
+
+def batches_of_locations(frames):
+    """Frames of rows ordered by ID, put together to about TOGETHER whole locations or ROWS rows each."""
+    held, rest = [], None
+    locations = rows = 0
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        ids = frame["ID"].to_numpy()
+        last = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+        rest, whole = frame.iloc[last:], frame.iloc[:last]
+        if last:
+            held.append(whole)
+            locations, rows = locations + int((np.diff(ids[:last]) != 0).sum()) + 1, rows + last
+            if locations >= TOGETHER or rows >= ROWS:
+                yield pd.concat(held, ignore_index=True)
+                held, locations, rows = [], 0, 0
+    if rest is not None and len(rest):
+        held.append(rest)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def forecast_batch(frame: pd.DataFrame, span: tuple[int, int]) -> pd.DataFrame:
+    """The zoned forecasts of some locations, day by day for all of them at once; as forecast_group() has each.
+
+    frame: the tagged rows of the locations. Values, means and coefficients stand in matrices of location by day; what is
+    missing is NaN, and a day that can't be predicted stays so.
+    """
+    ids, place = np.unique(frame["ID"].to_numpy(np.int64), return_inverse=True)
+    kind = frame["kind"].to_numpy()
+    first, last = np.datetime64(f"{span[0]}-01-01"), np.datetime64(f"{span[1]}-12-31")
+    names = sorted(set(frame["feature_name"].dropna()))
+    specs = [Feature(n) for n in names]
+    back = max([f.lag for f in specs], default=0)
+    start, n_days = first - back, int((last - first).astype(int)) + 1 + back
+    means = {v: np.full((len(ids), 367), np.nan) for v in ("TD", "TMIN")}
+    values = {v: np.full((len(ids), n_days), np.nan) for v in ("TD", "TMIN")}
+    a, b = frame["a"].to_numpy(float), frame["b"].to_numpy(float)
+    own = np.flatnonzero((kind == "m") & ~np.isnan(a) & ~np.isnan(b))
+    doys = frame["doy"].to_numpy(float)
+    for v, x in (("TD", a), ("TMIN", b)):
+        means[v][place[own], doys[own].astype(int)] = x[own]
+    day = np.full(len(frame), -1)
+    dated = np.flatnonzero(np.isin(kind, ["h", "f"]))
+    day[dated] = (pd.to_datetime(frame["FECHA"].iloc[dated]).to_numpy().astype("datetime64[D]") - start).astype(int)
+    for k, columns in (("h", ("TD", "TMIN")), ("f", ("TMIN",))):
+        own = np.flatnonzero((kind == k) & (day >= 0) & (day < n_days))
+        for v in columns:
+            x = a[own] if v == "TD" else b[own]
+            here = ~np.isnan(x)
+            values[v][place[own[here]], day[own[here]]] = x[here]
+    own = np.flatnonzero(kind == "c")
+    recipe = np.zeros((len(ids), 367), bool)
+    recipe[place[own], doys[own].astype(int)] = True
+    # a zero coefficient, and one that isn't there, doesn't ask for its input
+    coefficients = np.zeros((len(specs), len(ids), 367))
+    of_name = {n: k for k, n in enumerate(names)}
+    coefficients[np.array([of_name[n] for n in frame["feature_name"].iloc[own]], dtype=int), place[own], doys[own].astype(int)] = a[own]
+    dates = start + np.arange(n_days)
+    of_day = (dates - dates.astype("datetime64[Y]").astype("datetime64[D]")).astype(int) + 1
+    anomaly = {v: values[v] - means[v][:, of_day] for v in values}
+    out = []
+    for t in range(back, n_days):
+        doy = of_day[t]
+        total = means["TD"][:, doy].copy()
+        able = recipe[:, doy] & ~np.isnan(total)
+        for k, f in enumerate(specs):
+            beta = coefficients[k, :, doy]
+            x = np.ones(len(ids)) if f.var is None else anomaly[f.var][:, t - f.lag]
+            asked = beta != 0
+            able &= ~asked | np.isfinite(x)
+            total += np.where(asked, beta * np.where(np.isfinite(x), x, 0.0), 0.0)
+        anomaly["TD"][able, t] = total[able] - means["TD"][able, doy]
+        who = np.flatnonzero(able)
+        out.append((np.full(len(who), t - back), ids[who], total[who]))
+    days, who, value = (np.concatenate(x) for x in zip(*out))
+    return pd.DataFrame({"FECHA": pd.Series((first + days).astype(object), dtype=object), "ID": who, "TD_predicted": value})
 
 
 TAGGED = (("doy", "int"), ("feature_name", "string"), ("FECHA", "date"), ("a", "double"), ("b", "double"))

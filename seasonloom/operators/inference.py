@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,8 +12,24 @@ from pyspark.sql import functions as F
 
 from seasonloom.functions.expressions import finite
 
-#: Locations that stand for all others in the resampling matrix of a task; draws are made by location, so any number works.
-DRAWS_A_TASK = 64
+#: Locations whose draws are made at once.
+TOGETHER = 256
+#: Draws of 16 bits up to which a location comes 0, 1, 2, .. times: the distribution of Poisson counts of mean 1.
+POISSON = tuple(int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8))
+
+
+def random_bits(ids: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """n bits of each location, from md5 digests of location, seed and block of 128: any task makes the same ones, and so does SQL."""
+    blocks = range(-(-n // 128))
+    raw = b"".join(hashlib.md5(f"{i}:{seed}:{k}".encode()).digest() for i in ids.tolist() for k in blocks)
+    return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(ids), -1), axis=1)[:, :n]
+
+
+def poisson_counts(ids: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """How often each location comes in each of n draws: 16 bits of its own decide."""
+    bits = random_bits(ids, 16 * n, seed)
+    drawn = np.packbits(bits, axis=1).view(">u2").astype(np.int64)
+    return np.searchsorted(np.array(POISSON), drawn, side="right")
 
 
 def per_id_errors(rows: DataFrame, methods: dict[str, str], obs: str = "TD_obs") -> DataFrame:
@@ -46,18 +65,19 @@ def effect_size(deltas: DataFrame) -> DataFrame:
 def bootstrap(errors: DataFrame, method: str, baseline: str, n_boot: int = 1000, seed: int = 0) -> DataFrame:
     """delta_rmse and skill with their 2.5 and 97.5 percentiles, over locations drawn with replacement.
 
-    How often each location is drawn follows from a hash of seed, draw and location (Poisson counts, which for many
-    locations equal drawing with replacement), so every task adds up its own locations for all draws, and only sums by
-    draw are shuffled: a fixed number of rows, however many locations.
+    How often each location is drawn are Poisson counts of its own: the number of locations varies a little from draw to
+    draw where drawing with replacement holds it, which for many locations makes no difference to the limits. Every task
+    adds up its own locations for all draws, and only sums by draw are shuffled: a fixed number of rows, however many
+    locations.
     """
     columns = [f"se_{method}", f"n_{method}", f"se_{baseline}", f"n_{baseline}"]
 
     def work(frames):
         sums = np.zeros((n_boot, 4))
         for frame in frames:
-            values = frame[columns].to_numpy(float)
-            for row, location in zip(values, frame["ID"].to_numpy(np.int64)):
-                sums += np.random.default_rng((seed, int(location) & (2**63 - 1))).poisson(1.0, n_boot)[:, None] * row
+            ids, values = frame["ID"].to_numpy(np.int64), frame[columns].to_numpy(float)
+            for at in range(0, len(ids), TOGETHER):
+                sums += poisson_counts(ids[at : at + TOGETHER], n_boot, seed).T @ values[at : at + TOGETHER]
         yield pd.DataFrame({"draw": np.arange(n_boot), **dict(zip("abcd", sums.T))})
 
     draws = errors.select("ID", *columns).mapInPandas(work, "draw long, a double, b double, c double, d double").groupBy("draw").agg(*[F.sum(x).alias(x) for x in "abcd"])
@@ -69,21 +89,33 @@ def bootstrap(errors: DataFrame, method: str, baseline: str, n_boot: int = 1000,
 
 
 def sign_flip(deltas: DataFrame, n_perm: int = 5000, seed: int = 0) -> DataFrame:
-    """n, observed, p_value: one-sided, (hits + 1) / (n_perm + 1) of random signs whose mean is not below the observed one."""
+    """n, observed, p_value: one-sided, (hits + 1) / (n_perm + 1) of random signs whose mean is not below the observed one,
+    within rounding. A location's signs are bits of its own; sums by draw are shuffled, a fixed number of rows."""
 
     def work(frames):
-        sums = np.zeros(n_perm + 2)
+        sums = np.zeros(n_perm + 3)
         for frame in frames:
-            for location, delta in zip(frame["ID"].to_numpy(np.int64), frame["delta"].to_numpy(float)):
-                if np.isfinite(delta):
-                    sums[:n_perm] += np.where(np.random.default_rng((seed, int(location) & (2**63 - 1))).random(n_perm) < 0.5, -abs(delta), abs(delta))
-                    sums[n_perm] += delta
-                    sums[n_perm + 1] += 1
-        yield pd.DataFrame({"draw": np.arange(n_perm + 2), "s": sums})
+            frame = frame[np.isfinite(frame["delta"].to_numpy(float))]
+            ids, delta = frame["ID"].to_numpy(np.int64), frame["delta"].to_numpy(float)
+            for at in range(0, len(ids), TOGETHER):
+                signs = 1.0 - 2.0 * random_bits(ids[at : at + TOGETHER], n_perm, seed)
+                sums[:n_perm] += np.abs(delta[at : at + TOGETHER]) @ signs
+            sums[n_perm:] += delta.sum(), len(ids), np.abs(delta).sum()
+        yield pd.DataFrame({"draw": np.arange(n_perm + 3), "s": sums})
 
     sums = deltas.mapInPandas(work, "draw long, s double").groupBy("draw").agg(F.sum("s").alias("s"))
     total = F.max(F.when(F.col("draw") == n_perm, F.col("s")))
     n = F.max(F.when(F.col("draw") == n_perm + 1, F.col("s")))
-    one = sums.agg(total.alias("total"), n.alias("n"), F.collect_list(F.when(F.col("draw") < n_perm, F.col("s"))).alias("draws"))  # n_perm numbers
-    hits = F.size(F.filter("draws", lambda s: s >= F.col("total") - 1e-12))
+    size = F.max(F.when(F.col("draw") == n_perm + 2, F.col("s")))
+    one = sums.agg(total.alias("total"), n.alias("n"), size.alias("size"), F.collect_list(F.when(F.col("draw") < n_perm, F.col("s"))).alias("draws"))  # n_perm numbers
+    hits = F.size(F.filter("draws", lambda s: s >= F.col("total") - 1e-12 * F.col("size")))
     return one.select(F.col("n").cast("long").alias("n"), F.try_divide("total", "n").alias("observed"), ((hits + 1) / F.lit(float(n_perm + 1))).alias("p_value"))
+
+
+def effect_table(rows: DataFrame, methods: dict[str, str], method: str = "tuned", baseline: str = "climatology", split: str = "ll1", n_boot: int = 1000, n_perm: int = 5000, seed: int = 0) -> DataFrame:
+    """One row of a split's evidence: pooled errors with bootstrap limits, gain by location, effect size and p-value."""
+    errors = per_id_errors(rows, methods)
+    deltas = location_deltas(errors, method, baseline)
+    one = lambda df: df.withColumn("k", F.lit(1))
+    found = one(bootstrap(errors, method, baseline, n_boot, seed)).join(one(effect_size(deltas)), "k").join(one(sign_flip(deltas, n_perm, seed).select("p_value")), "k")
+    return found.select(F.lit(split).alias("split"), "n", "rmse", "rmse_baseline", "delta_rmse", "delta_lo", "delta_hi", "skill", "skill_lo", "skill_hi", "mean_delta", "win_fraction", "cohens_d", "p_value")

@@ -72,6 +72,12 @@ def monthly_delta(a: DataFrame, b: DataFrame, pred_col: str = "TD_predicted") ->
     return joined.groupBy(F.month("FECHA").alias("month")).agg(F.avg(F.abs(F.col("y") - F.col("x"))).alias("mean_abs"))
 
 
+def monthly_bias(rows: DataFrame, pred_col: str = "pred_tuned", obs_col: str = "TD_obs") -> DataFrame:
+    """month, n, bias: mean error of a method's backtest rows by month."""
+    error = F.when(finite(F.col(pred_col)) & finite(F.col(obs_col)), F.col(pred_col) - F.col(obs_col))
+    return rows.groupBy(F.month("FECHA").alias("month")).agg(F.count(error).alias("n"), F.avg(error).alias("bias"))
+
+
 def verdict(score_a: DataFrame, score_b: DataFrame, label_a: str = "A", label_b: str = "B") -> DataFrame:
     """rmse_a, rmse_b, winner of two one-row scores: the lower RMSE, A if equal."""
     both = score_a.select(F.col("rmse").alias("rmse_a"), F.lit(1).alias("k")).join(score_b.select(F.col("rmse").alias("rmse_b"), F.lit(1).alias("k")), "k").drop("k")

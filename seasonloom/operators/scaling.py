@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,24 +47,36 @@ def contention(p: Column, gamma: Column) -> Column:
     return (1 + gamma) / (1 + gamma * p)
 
 
-def fit_gamma(points: DataFrame, rounds: int = 3, steps: int = 400) -> float:
-    """The gamma of least squares over (p, efficiency), on a geometric grid of 1e-4 to 10 and then finer linear ones.
+def fit_gamma(points: DataFrame, low: float = 1e-4, high: float = 10.0, tolerance: float = 1e-7) -> float:
+    """The gamma from low to high of least squares over (p, efficiency).
 
-    Each round is one job over the grid's few hundred values; the points come along as one array by aggregation.
+    Efficiency is an average by p, as the squares' sum differs from that over averages by a constant only; what reaches
+    the driver is one row for each number of cores. On a logarithmic scale the sum is searched by golden section, from
+    the best of a few starts.
     """
-    spark = points.sparkSession
-    all_ = points.agg(F.collect_list(F.struct(F.col("p").cast("double").alias("p"), "efficiency")).alias("points"))
-    low, high, geometric, best = 1e-4, 10.0, True, 1e-4
-    for _ in range(rounds):
-        share = F.col("id") / (steps - 1.0)
-        gamma = F.exp(F.log(F.lit(low)) + share * (F.log(F.lit(high)) - F.log(F.lit(low)))) if geometric else low + share * (high - low)
-        grid = spark.range(steps).select("id", gamma.alias("gamma"), F.lit(1).alias("k")).join(all_.withColumn("k", F.lit(1)), "k")
-        sse = F.aggregate("points", F.lit(0.0), lambda s, x: s + (x["efficiency"] - contention(x["p"], F.col("gamma"))) ** 2)
-        place = Window.orderBy("id")
-        ranked = grid.select("id", "gamma", sse.alias("sse")).withColumn("low", F.coalesce(F.lag("gamma").over(place), "gamma")).withColumn("high", F.coalesce(F.lead("gamma").over(place), "gamma"))
-        row = ranked.orderBy("sse", "id").first()
-        best, low, high, geometric = row["gamma"], row["low"], row["high"], False
-    return best
+    rows = points.groupBy(F.col("p").cast("double").alias("p")).agg(F.avg("efficiency").alias("e"), F.count(F.lit(1)).alias("n")).collect()
+
+    def loss(x: float) -> float:
+        gamma = math.exp(x)
+        return sum(r["n"] * (r["e"] - (1 + gamma) / (1 + gamma * r["p"])) ** 2 for r in rows)
+
+    a, b = math.log(low), math.log(high)
+    starts = [a + (b - a) * k / 32 for k in range(33)]
+    k = min(range(33), key=lambda i: loss(starts[i]))
+    a, b = starts[max(k - 1, 0)], starts[min(k + 1, 32)]
+    share = (math.sqrt(5) - 1) / 2
+    x, y = b - share * (b - a), a + share * (b - a)
+    fx, fy = loss(x), loss(y)
+    while b - a > tolerance:
+        if fx <= fy:
+            b, y, fy = y, x, fx
+            x = b - share * (b - a)
+            fx = loss(x)
+        else:
+            a, x, fx = x, y, fy
+            y = a + share * (b - a)
+            fy = loss(y)
+    return math.exp((a + b) / 2)
 
 
 def best_block(runs: DataFrame) -> DataFrame:
@@ -71,6 +85,13 @@ def best_block(runs: DataFrame) -> DataFrame:
     return m.groupBy("size").agg(F.min(F.struct("time_ms", "block")).alias("b")).select("size", F.col("b.block").alias("block"), F.col("b.time_ms").alias("time_ms"))
 
 
+def hardware(runs: DataFrame, fits_each: int = 366) -> DataFrame:
+    """B, n_ids, median wall_s of each kind of hardware (hw) at its best p, seconds a fit, and the gain over the slowest."""
+    best = runs.groupBy("B", "hw", "p").agg(F.median("wall_s").alias("wall_s"), F.min_by("n_ids", "trial").alias("n_ids")).groupBy("B", "hw").agg(F.min(F.struct("wall_s", "p", "n_ids")).alias("best"))
+    rows = best.select("B", "hw", F.col("best.p").alias("p"), F.col("best.n_ids").alias("n_ids"), F.col("best.wall_s").alias("wall_s"))
+    return rows.withColumn("s_per_fit", F.try_divide("wall_s", F.col("n_ids") * fits_each)).withColumn("gain", F.max("wall_s").over(Window.partitionBy("B")) / F.col("wall_s"))
+
+
 def cost_model(sizes: DataFrame, n_rows: str = "n_rows", n_ids: str = "n_ids", features: int = 5, h: int = 11) -> DataFrame:
     """sizes with flops and bytes of assembly, convolution and solution: products by row, weighted sums by day, and a Cholesky solve."""
     stats = features * (features + 1) // 2 + features + 2

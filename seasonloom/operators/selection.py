@@ -27,24 +27,33 @@ def held_out_rows(frame: DataFrame, n_features: int, names, h: int, kernel: str,
     return frame.select("ID", "year", "doy", "target", F.array(*names).alias("x")).join(others, ["ID", "year", "doy"])
 
 
-def cosine_skill(rows: DataFrame, n: int, subsets: list[tuple[int, ...]], by: tuple[str, ...] = ("zone_id",)) -> DataFrame:
+def unit_codes(zone, doy, granularity: str):
+    """One number for a zone and unit."""
+    return zone * 1000 + (doy if granularity == "doy" else 0)
+
+
+def cosine_skill(rows: DataFrame, n: int, subsets: list[tuple[int, ...]], by: tuple[str, ...] = ("zone_id",), wanted: list | None = None, granularity: str = "doy") -> DataFrame:
     """by, doy, year, subset (index), cosine of predicted and true anomalies of left-out rows, for each subset of features.
 
-    Each batch solves every subset once per distinct slot and sends sums by (by, doy, year, subset) only.
+    Each batch solves a subset for the rows of the units that ask for it (wanted: their codes for each subset; all units
+    without), and sends sums by (by, doy, year, subset) only.
     """
     masks = np.array([[k in s for k in range(n)] for s in subsets])
 
     def work(frames):
         for frame in frames:
+            if not len(frame):
+                continue
             stats, x, y = np.stack(frame["s"].to_numpy()), np.stack(frame["x"].to_numpy()), frame["target"].to_numpy(float)
-            parts = []
+            codes = unit_codes(frame[by[0]].to_numpy(), frame["doy"].to_numpy(), granularity) if wanted is not None else None
             for k, mask in enumerate(masks):
-                beta, _ = solve_masked(stats, np.repeat(mask[None], len(stats), 0), n)
-                p = (beta * x).sum(1)
+                own = np.flatnonzero(np.isin(codes, wanted[k])) if wanted is not None else np.arange(len(frame))
+                beta, _ = solve_masked(stats[own], np.repeat(mask[None], len(own), 0), n)
+                p = (beta * x[own]).sum(1)
                 ok = np.isfinite(p)
-                part = frame.loc[ok, [*by, "doy", "year"]].assign(subset=k, spy=(p * y)[ok], sxx=(p * p)[ok], syy=(y * y)[ok])
-                parts.append(part.groupby([*by, "doy", "year", "subset"], as_index=False).sum())
-            yield pd.concat(parts)
+                p, own = p[ok], own[ok]
+                part = frame.iloc[own][[*by, "doy", "year"]].assign(subset=k, spy=p * y[own], sxx=p * p, syy=y[own] * y[own])
+                yield part.groupby([*by, "doy", "year", "subset"], as_index=False).sum()
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
     sums = rows.mapInPandas(work, f"{kinds}, doy int, year int, subset int, spy double, sxx double, syy double")
@@ -74,17 +83,24 @@ def select(series: DataFrame, zones: DataFrame, tuning: TuningConfig = TuningCon
     for h in dict.fromkeys([*tuning.h_grid, tuning.base.h]):
         rows = held_out_rows(frame, n, names, h, tuning.base.kernel, tuning.base.min_samples).join(sample, "ID").persist()
 
-        def skills(subsets):
-            found = unit_skill(cosine_skill(rows, n, subsets), tuning.granularity).where("skill is not null").collect()
+        def skills(asked):
+            """Skill by zone, unit and subset; asked: subsets with the (zone, unit) that ask for them, all if None."""
+            subsets = sorted(asked)
+            wanted = None if None in asked.values() else [np.array(sorted({unit_codes(z, u, tuning.granularity) for z, u in asked[s]})) for s in subsets]
+            found = unit_skill(cosine_skill(rows, n, subsets, wanted=wanted, granularity=tuning.granularity), tuning.granularity).where("skill is not null").collect()
             return {(r["zone_id"], r["unit"], subsets[r["subset"]]): r["skill"] for r in found}
 
         if h in tuning.h_grid:
             full = tuple(range(n))
-            current = {(z, u): (full, v) for (z, u, _), v in skills([full]).items()}
+            current = {(z, u): (full, v) for (z, u, _), v in skills({full: None}).items()}
             active = {k for k, (s, _) in current.items() if len(s) > 2}
             while active:
                 proposals = {k: [tuple(x for x in current[k][0] if x != f) for f in current[k][0] if f] for k in active}
-                got = skills(sorted({s for p in proposals.values() for s in p}))
+                asked: dict[tuple, set] = {}
+                for key, subsets in proposals.items():
+                    for s in subsets:
+                        asked.setdefault(s, set()).add(key)
+                got = skills(asked)
                 for key in list(active):
                     ranked = [(got[(*key, s)], -i, s) for i, s in enumerate(proposals[key]) if (*key, s) in got]
                     top = max(ranked, default=None)
@@ -99,7 +115,7 @@ def select(series: DataFrame, zones: DataFrame, tuning: TuningConfig = TuningCon
                     best[key] = (value, h, subset)
         if h == tuning.base.h:
             base = tuple(sorted(names.index(f) for f in STANDARD)) if set(STANDARD) <= set(names) else None
-            baseline = {k[:2]: v for k, v in skills([base]).items()} if base else {}
+            baseline = {k[:2]: v for k, v in skills({base: None}).items()} if base else {}
         rows.unpersist()
     out = [(z, u, h, ",".join(names[i] for i in s), len(s), v, baseline.get((z, u))) for (z, u), (v, h, s) in sorted(best.items())]
     made = spark.createDataFrame(out, "zone_id int, doy int, h int, feature_list string, n_features int, skill double, skill_baseline double")

@@ -34,13 +34,19 @@ def climatology(series: DataFrame, span: tuple[int, int] | None = None, nan_poli
     return years(series, span).groupBy("ID", "doy").agg(mean_of(F.col("TD"), nan_policy).alias("TD_clim"), mean_of(F.col("TMIN"), nan_policy).alias("TMIN_clim"))
 
 
-def anomalies(series: DataFrame, clim: DataFrame | None = None) -> DataFrame:
-    """series with TD_clim, TMIN_clim, TD_anom and TMIN_anom.
+#: In place of a climatology: none, plain values.
+RAW = "raw"
+
+
+def anomalies(series: DataFrame, clim: DataFrame | str | None = None) -> DataFrame:
+    """series with TD_clim, TMIN_clim, TD_anom and TMIN_anom. With RAW the means are 0 and the anomalies plain values.
 
     Without clim the series' own means serve, as a window over (ID, doy): it shares the partitioning by ID of the lags
     and the sums that follow, where a join by (ID, doy) would shuffle once more.
     """
-    if clim is None:
+    if isinstance(clim, str):
+        series = series.withColumn("TD_clim", F.lit(0.0)).withColumn("TMIN_clim", F.lit(0.0))
+    elif clim is None:
         slot = Window.partitionBy("ID", "doy")
         series = series.withColumn("TD_clim", F.avg(known(F.col("TD"))).over(slot)).withColumn("TMIN_clim", F.avg(known(F.col("TMIN"))).over(slot))
     else:
@@ -48,7 +54,16 @@ def anomalies(series: DataFrame, clim: DataFrame | None = None) -> DataFrame:
     return series.withColumn("TD_anom", F.col("TD") - F.col("TD_clim")).withColumn("TMIN_anom", F.col("TMIN") - F.col("TMIN_clim"))
 
 
-def feature_frame(series: DataFrame, names, clim: DataFrame | None = None, complete: bool = True) -> DataFrame:
+def raw_lags(series: DataFrame, lags=(("TD", 1), ("TD", 2), ("TMIN", 1))) -> DataFrame:
+    """ID, FECHA, td, and the values of the previous present rows (td1, td2, tm1), for rows that have the longest."""
+    order = Window.partitionBy("ID").orderBy("FECHA")
+    short = {"TD": "td", "TMIN": "tm"}
+    names = [f"{short[v]}{k}" for v, k in lags]
+    rows = series.select("ID", "FECHA", F.col("TD").alias("td"), *[F.lag(v, k).over(order).alias(n) for (v, k), n in zip(lags, names)])
+    return rows.dropna(subset=[max(zip([k for _, k in lags], names))[1]])
+
+
+def feature_frame(series: DataFrame, names, clim: DataFrame | str | None = None, complete: bool = True) -> DataFrame:
     """ID, FECHA, doy, year, target and one column per feature. Lags are those of the previous present rows of a location;
     rows that miss the target or a feature go after lagging."""
     order = Window.partitionBy("ID").orderBy("FECHA")

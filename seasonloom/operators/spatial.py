@@ -103,8 +103,8 @@ def zone_table(points: DataFrame, vertices: DataFrame, labels: DataFrame, limit:
 
 
 def stratified_sample(zones: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """min(n, size) locations of each assigned zone, by hash of location and seed."""
-    order = Window.partitionBy("zone_id").orderBy(F.xxhash64("ID", F.lit(seed)), "ID")
+    """min(n, size) locations of each assigned zone, by digest of location and seed."""
+    order = Window.partitionBy("zone_id").orderBy(F.md5(F.concat(F.col("ID").cast("string"), F.lit(f":{seed}")).cast("binary")), "ID")
     return zones.where("zone_id >= 0").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n).drop("rn")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seasonloom.config import STANDARD, FitConfig, TuningConfig
 from seasonloom.functions.expressions import bucket_of
 from seasonloom.operators import baselines, forecast, gram, inference, metrics, quality, scaling, selection, series, spatial, zoned
-from seasonloom.operators.fit import failures, fit, one_step, tidy
+from seasonloom.operators.fit import compared, failure_summary, failures, fit, one_step, tidy
 from seasonloom.operators.metrics import COEFFICIENTS
 from seasonloom.plans.oracle import conv_sql, features_sql, fit_ctes, gram_sql, kernel_sql, pearson_sql, rounded, scores_sql, solve_sql, stat_list, wide_select, with_
 from seasonloom.plans.proxies import DAILY_SQL, daily, raw, raw_sql, table, zones
@@ -154,6 +154,12 @@ def fit_failures(spark, sf):
     return failures(fit(daily(spark, sf)))
 
 
+@query(with_(*fit_ctes(STANDARD)) + "SELECT 'fit' AS phase, 'SingularSystem' AS exception_type, count(*) AS failures, count(DISTINCT \"ID\") AS locations, CAST(min(doy) AS INTEGER) AS first_doy, CAST(max(doy) AS INTEGER) AS last_doy FROM solved WHERE beta_0 IS NULL HAVING count(*) > 0")
+def fit_failure_summary(spark, sf):
+    """Failures by kind."""
+    return failure_summary(failures(fit(daily(spark, sf))))
+
+
 @query(with_(*fit_ctes(STANDARD)) + 'SELECT "ID", CAST(NULL AS INTEGER) AS zone_id, CAST(doy AS INTEGER) AS doy, feature_name, round(coeff, 6) AS coeff, round(r2, 6) AS r_squared_anom, 11 AS h FROM (' + " UNION ALL ".join(f"SELECT \"ID\", doy, '{x}' AS feature_name, beta_{i} AS coeff, r2 FROM solved" for i, x in enumerate(STANDARD)) + ")")
 def tidy_coefficients(spark, sf):
     """The fit as one row per coefficient."""
@@ -170,11 +176,34 @@ def one_step_prediction(spark, sf):
 @query(with_(DAILY_SQL, 'lags AS (SELECT "ID", "FECHA", "TD", "TMIN", lag("TD", 1) OVER w AS td1, lag("TD", 2) OVER w AS td2, lag("TMIN", 1) OVER w AS tm1 FROM series WINDOW w AS (PARTITION BY "ID" ORDER BY "FECHA"))') + 'SELECT "ID", "FECHA", round("TD", 6) AS td, round(td1, 6) AS td1, round(td2, 6) AS td2, round(tm1, 6) AS tm1 FROM lags WHERE td2 IS NOT NULL')
 def raw_lags(spark, sf):
     """Lags of the plain values, as the non-anomaly model has them."""
-    from pyspark.sql import Window
+    return r6(series.raw_lags(daily(spark, sf)))
+
+
+ZERO_CLIM = 'clim AS (SELECT DISTINCT "ID", doy, 0.0 AS td_clim, 0.0 AS tmin_clim FROM series)'
+
 
-    w = Window.partitionBy("ID").orderBy("FECHA")
-    rows = daily(spark, sf).select("ID", "FECHA", F.col("TD").alias("td"), F.lag("TD", 1).over(w).alias("td1"), F.lag("TD", 2).over(w).alias("td2"), F.lag("TMIN", 1).over(w).alias("tm1"))
-    return r6(rows.where("td2 is not null"))
+def one_step_sql(name: str) -> str:
+    """CTE of one-step predictions."""
+    return name + ' AS (SELECT f."ID", f."FECHA", c.td_clim + ' + " + ".join(f"s.beta_{i} * f.f{i}" for i in range(5)) + ' AS p FROM feats f JOIN solved s ON f."ID" = s."ID" AND f.doy = s.doy JOIN clim c ON f."ID" = c."ID" AND f.doy = c.doy)'
+
+
+@query(with_(*fit_ctes(STANDARD, clim=ZERO_CLIM)) + 'SELECT "ID", CAST(doy AS INTEGER) AS doy, round(r2, 4) AS r2, n FROM solved')
+def raw_model_fit(spark, sf):
+    """Fits of the model of plain values: explained share of each."""
+    found = fit(daily(spark, sf), clim=series.RAW)
+    frame = gram.convolved(gram.day_sums(series.feature_frame(daily(spark, sf).repartition("ID"), STANDARD, series.RAW), STANDARD), 5, 11, "Tricube").select("ID", "doy", "n")
+    return found.select("ID", "doy", F.round("r_squared_anom", 4).alias("r2")).join(frame, ["ID", "doy"])
+
+
+@query(
+    f'WITH raw_p AS (SELECT * FROM ({with_(*fit_ctes(STANDARD, clim=ZERO_CLIM), one_step_sql("pr"))}SELECT * FROM pr)), anom_p AS (SELECT * FROM ({with_(*fit_ctes(STANDARD), one_step_sql("pr"))}SELECT * FROM pr)), {DAILY_SQL}, '
+    + 'j AS (SELECT a.p AS raw, b.p AS anomaly, s."TD" AS o FROM raw_p a JOIN anom_p b ON a."ID" = b."ID" AND a."FECHA" = b."FECHA" JOIN series s ON s."ID" = a."ID" AND s."FECHA" = a."FECHA"), l AS (SELECT \'raw\' AS model, raw AS p, o FROM j UNION ALL SELECT \'anomaly\', anomaly, o FROM j) '
+    + "SELECT model, count(*) AS n, round(sqrt(avg((p - o) * (p - o))), 2) AS rmse, round(1 - sum((p - o) * (p - o)) / (var_pop(o) * count(*)), 4) AS r2 FROM l WHERE p IS NOT NULL AND o IS NOT NULL GROUP BY 1"
+)
+def raw_against_anomaly(spark, sf):
+    """Errors of the model of plain values and that of anomalies on common rows."""
+    found = compared(daily(spark, sf))
+    return found.select("model", "n", F.round("rmse", 2).alias("rmse"), F.round("r2", 4).alias("r2"))
 
 
 LOYO = (DAILY_SQL, *features_sql(TWO), gram_sql(2, '"ID", yr, doy'), kernel_sql(11, "Tricube"), conv_sql(2, '"ID", yr'), "loyo AS (SELECT \"ID\", yr, doy, " + ", ".join(f'sum({c}) OVER e - {c} AS {c}' for c in [*stat_list(2), "n"]) + ' FROM conv WINDOW e AS (PARTITION BY "ID", doy))')
@@ -254,16 +283,20 @@ def feature_retention(spark, sf):
     return zoned.feature_retention(manifest(spark))
 
 
-@query()
+@query(with_(ZONES_SQL) + "SELECT \"ID\", zone_id, zone_label FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY md5(\"ID\" || ':0'), \"ID\") AS rn FROM zones) WHERE rn <= 2")
 def stratified_sample_ids(spark, sf):
-    """Two locations of each zone, by hash."""
+    """Two locations of each zone, by digest."""
     return spatial.stratified_sample(zones(spark, sf), 2)
 
 
 # ---- forecasts
 
-TRAIN_SQL = f'train AS (SELECT * FROM series WHERE year("FECHA") <= {TRAIN_END})'
-FORECAST = (*fit_ctes(STANDARD, source="train", extra=(TRAIN_SQL,)), "coef AS MATERIALIZED (SELECT * FROM solved WHERE beta_0 IS NOT NULL)")
+def train_sql(train_end: int) -> str:
+    """CTE train."""
+    return f'train AS (SELECT * FROM series WHERE year("FECHA") <= {train_end})'
+
+
+TRAIN_SQL = train_sql(TRAIN_END)
 
 
 @query(with_(DAILY_SQL, TRAIN_SQL) + 'SELECT "ID", "FECHA", round("TD", 6) AS "TD", round("TMIN", 6) AS "TMIN", CAST(rn AS INTEGER) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY "ID" ORDER BY "FECHA" DESC) AS rn FROM train) WHERE rn <= 2')
@@ -280,12 +313,18 @@ def split(spark, sf):
     return train, held, fit(train).where("const_anom is not null"), series.climatology(train)
 
 
-RECURSIVE = (
-    *FORECAST,
-    f'days AS MATERIALIZED (SELECT h."ID", h."FECHA", h."TMIN", h."TMIN" - c0.tmin_clim AS x1, c0.td_clim AS base, c1.td_clim AS td1, c2.td_clim AS td2, c1.tmin_clim AS tm1, k.beta_0, k.beta_1, k.beta_2, k.beta_3, k.beta_4, row_number() OVER (PARTITION BY h."ID" ORDER BY h."FECHA") AS rn FROM series h JOIN coef k ON k."ID" = h."ID" AND k.doy = h.doy JOIN clim c0 ON c0."ID" = h."ID" AND c0.doy = h.doy JOIN clim c1 ON c1."ID" = h."ID" AND c1.doy = dayofyear(h."FECHA" - 1) JOIN clim c2 ON c2."ID" = h."ID" AND c2.doy = dayofyear(h."FECHA" - 2) WHERE year(h."FECHA") BETWEEN {HOLDOUT[0]} AND {HOLDOUT[1]})',
-    'seed AS (SELECT "ID", max(CASE WHEN rn = 1 THEN "TD" END) AS s1, max(CASE WHEN rn = 2 THEN "TD" END) AS s2, max(CASE WHEN rn = 1 THEN "TMIN" END) AS m1 FROM (SELECT *, row_number() OVER (PARTITION BY "ID" ORDER BY "FECHA" DESC) AS rn FROM train) WHERE rn <= 2 GROUP BY 1 HAVING count(*) = 2)',
-    'walk AS (SELECT s."ID", CAST(0 AS BIGINT) AS rn, CAST(NULL AS DATE) AS "FECHA", s1 AS l1, s2 AS l2, m1 AS m FROM seed s UNION ALL SELECT d."ID", d.rn, d."FECHA", d.base + d.beta_0 + d.beta_1 * d.x1 + d.beta_2 * (w.l1 - d.td1) + d.beta_3 * (w.l2 - d.td2) + d.beta_4 * (w.m - d.tm1), w.l1, d."TMIN" FROM walk w JOIN days d ON d."ID" = w."ID" AND d.rn = w.rn + 1)',
-)
+def recursive_ctes(train_end: int, holdout: tuple[int, int]) -> tuple[str, ...]:
+    """CTEs from the tables to walk, a forecast day by day."""
+    return (
+        *fit_ctes(STANDARD, source="train", extra=(train_sql(train_end),)),
+        "coef AS MATERIALIZED (SELECT * FROM solved WHERE beta_0 IS NOT NULL)",
+        f'days AS MATERIALIZED (SELECT h."ID", h."FECHA", h."TMIN", h."TMIN" - c0.tmin_clim AS x1, c0.td_clim AS base, c1.td_clim AS td1, c2.td_clim AS td2, c1.tmin_clim AS tm1, k.beta_0, k.beta_1, k.beta_2, k.beta_3, k.beta_4, row_number() OVER (PARTITION BY h."ID" ORDER BY h."FECHA") AS rn FROM series h JOIN coef k ON k."ID" = h."ID" AND k.doy = h.doy JOIN clim c0 ON c0."ID" = h."ID" AND c0.doy = h.doy JOIN clim c1 ON c1."ID" = h."ID" AND c1.doy = dayofyear(h."FECHA" - 1) JOIN clim c2 ON c2."ID" = h."ID" AND c2.doy = dayofyear(h."FECHA" - 2) WHERE year(h."FECHA") BETWEEN {holdout[0]} AND {holdout[1]})',
+        'seed AS (SELECT "ID", max(CASE WHEN rn = 1 THEN "TD" END) AS s1, max(CASE WHEN rn = 2 THEN "TD" END) AS s2, max(CASE WHEN rn = 1 THEN "TMIN" END) AS m1 FROM (SELECT *, row_number() OVER (PARTITION BY "ID" ORDER BY "FECHA" DESC) AS rn FROM train) WHERE rn <= 2 GROUP BY 1 HAVING count(*) = 2)',
+        'walk AS (SELECT s."ID", CAST(0 AS BIGINT) AS rn, CAST(NULL AS DATE) AS "FECHA", s1 AS l1, s2 AS l2, m1 AS m FROM seed s UNION ALL SELECT d."ID", d.rn, d."FECHA", d.base + d.beta_0 + d.beta_1 * d.x1 + d.beta_2 * (w.l1 - d.td1) + d.beta_3 * (w.l2 - d.td2) + d.beta_4 * (w.m - d.tm1), w.l1, d."TMIN" FROM walk w JOIN days d ON d."ID" = w."ID" AND d.rn = w.rn + 1)',
+    )
+
+
+RECURSIVE = recursive_ctes(TRAIN_END, HOLDOUT)
 
 
 def recursive_with(*ctes: str) -> str:
@@ -318,6 +357,32 @@ def forecast_zoned(spark, sf):
     return found.select("FECHA", "ID", F.round("TD_predicted", 4).alias("TD_predicted"))
 
 
+LAGGED = ("const", "TMIN_anom", "TD_anom_lag1", "TD_anom_lag2", "TMIN_anom_lag7", "TD_anom_lag30")
+
+
+@query(
+    recursive_with(DAILY_SQL, TRAIN_SQL, *features_sql(LAGGED[:2], "train")[:1],
+                   f'held AS MATERIALIZED (SELECT * FROM series WHERE year("FECHA") BETWEEN {HOLDOUT[0]} AND {HOLDOUT[1]})',
+                   'xs AS MATERIALIZED (SELECT "ID", "FECHA", "TMIN" - c.tmin_clim AS m FROM (SELECT "ID", "FECHA", doy, "TMIN" FROM train UNION ALL SELECT "ID", "FECHA", doy, "TMIN" FROM held) JOIN clim c USING ("ID", doy))',
+                   'hist AS MATERIALIZED (SELECT t."ID", t."FECHA", t."TD" - c.td_clim AS v FROM train t JOIN clim c USING ("ID", doy))',
+                   f"days AS MATERIALIZED (SELECT i.\"ID\", CAST(DATE '{HOLDOUT[0]}-01-01' + CAST(k AS INTEGER) AS DATE) AS d, k, c.td_clim FROM (SELECT DISTINCT \"ID\" FROM train) i, range(date_diff('day', DATE '{HOLDOUT[0]}-01-01', DATE '{HOLDOUT[1]}-12-31') + 1) t(k) LEFT JOIN clim c ON c.\"ID\" = i.\"ID\" AND c.doy = dayofyear(DATE '{HOLDOUT[0]}-01-01' + CAST(k AS INTEGER)))",
+                   # the state holds the last thirty anomalies, null where a day has none
+                   f"start AS (SELECT i.\"ID\", list(h.v ORDER BY b DESC) AS s FROM (SELECT DISTINCT \"ID\" FROM train) i, range(1, 31) t(b) LEFT JOIN hist h ON h.\"ID\" = i.\"ID\" AND h.\"FECHA\" = DATE '{HOLDOUT[0]}-01-01' - CAST(b AS INTEGER) GROUP BY 1)",
+                   'ins AS MATERIALIZED (SELECT d."ID", d.k, d.d, d.td_clim, x0.m AS m0, x7.m AS m7 FROM days d LEFT JOIN xs x0 ON x0."ID" = d."ID" AND x0."FECHA" = d.d LEFT JOIN xs x7 ON x7."ID" = d."ID" AND x7."FECHA" = d.d - 7)',
+                   'go AS (SELECT "ID", CAST(-1 AS BIGINT) AS k, CAST(NULL AS DATE) AS d, CAST(NULL AS DOUBLE) AS p, s FROM start UNION ALL SELECT i."ID", i.k, i.d, i.td_clim + v, list_append(list_slice(g.s, 2, 30), v) FROM (SELECT g."ID", g.k, g.s, 0.5 + 0.3 * i.m0 + 0.2 * g.s[30] + 0.1 * g.s[29] - 0.1 * i.m7 + 0.15 * g.s[1] AS v FROM go g JOIN ins i ON i."ID" = g."ID" AND i.k = g.k + 1) g JOIN ins i ON i."ID" = g."ID" AND i.k = g.k + 1)')
+    + 'SELECT d AS "FECHA", "ID", round(p, 4) AS "TD_predicted" FROM go WHERE p IS NOT NULL'
+)
+def forecast_zoned_lags(spark, sf):
+    """A year's forecast with given coefficients of calendar lags 1, 2, 7 and 30; days whose inputs are missing are skipped."""
+    rows = daily(spark, sf)
+    train, held = rows.where(F.year("FECHA") <= TRAIN_END), series.years(rows, HOLDOUT)
+    values = dict(zip(LAGGED, (0.5, 0.3, 0.2, 0.1, -0.1, 0.15)))
+    recipe = F.explode(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])).alias("feature_name", "coeff")
+    days = train.select("ID").distinct().select("ID", F.explode(F.sequence(F.lit(1), F.lit(366))).alias("doy")).select("ID", "doy", recipe)
+    found = forecast.zoned(days, series.climatology(train), train, held, HOLDOUT)
+    return found.select("FECHA", "ID", F.round("TD_predicted", 4).alias("TD_predicted"))
+
+
 @query(recursive_with(*RECURSIVE) + "SELECT \"ID\", \"FECHA\", round(l1, 5) AS \"Value\", strftime(\"FECHA\", '%Y_%m') AS year_month FROM walk WHERE rn > 0")
 def monthly_export(spark, sf):
     """The forecast as monthly files hold it."""
@@ -516,22 +581,71 @@ def ladder(spark, sf):
     return baselines.ladder(train.unionByName(held), zones(spark, sf), tuned, TRAIN_END, HOLDOUT)
 
 
-LADDER = (
-    *RECURSIVE, ZONES_SQL,
-    'om AS (SELECT zone_id, count(*) AS n, sum("TMIN") AS sx, sum("TD") AS sy, sum("TMIN" * "TMIN") AS sxx, sum("TMIN" * "TD") AS sxy FROM train JOIN zones USING ("ID") GROUP BY 1)',
-    "ols AS (SELECT zone_id, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS intercept FROM om)",
-    'bt AS (SELECT h."ID", h."TD" AS o, w.l1 AS tuned, c.td_clim AS climatology, h."TMIN" AS td_eq_tmin, ols.intercept + ols.slope * h."TMIN" AS zone_ols FROM walk w JOIN series h ON h."ID" = w."ID" AND h."FECHA" = w."FECHA" JOIN zones z ON z."ID" = h."ID" JOIN ols ON ols.zone_id = z.zone_id LEFT JOIN clim c ON c."ID" = h."ID" AND c.doy = h.doy WHERE w.rn > 0)',
-)
+def ladder_ctes(train_end: int, holdout: tuple[int, int]) -> tuple[str, ...]:
+    """CTEs from the tables to bt, the backtest rows."""
+    return (
+        *recursive_ctes(train_end, holdout), ZONES_SQL,
+        'om AS (SELECT zone_id, count(*) AS n, sum("TMIN") AS sx, sum("TD") AS sy, sum("TMIN" * "TMIN") AS sxx, sum("TMIN" * "TD") AS sxy FROM train JOIN zones USING ("ID") GROUP BY 1)',
+        "ols AS (SELECT zone_id, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope, (sy - (n * sxy - sx * sy) / (n * sxx - sx * sx) * sx) / n AS intercept FROM om)",
+        'bt AS (SELECT h."ID", h."FECHA", h."TD" AS o, w.l1 AS tuned, c.td_clim AS climatology, h."TMIN" AS td_eq_tmin, ols.intercept + ols.slope * h."TMIN" AS zone_ols FROM walk w JOIN series h ON h."ID" = w."ID" AND h."FECHA" = w."FECHA" JOIN zones z ON z."ID" = h."ID" JOIN ols ON ols.zone_id = z.zone_id LEFT JOIN clim c ON c."ID" = h."ID" AND c.doy = h.doy WHERE w.rn > 0)',
+    )
+
 
+LADDER = ladder_ctes(TRAIN_END, HOLDOUT)
+#: Scores by method from bt.
+SCORES = ("lo AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, {m} AS p, o FROM bt WHERE {m} IS NOT NULL" for m in ("climatology", "td_eq_tmin", "zone_ols", "tuned")) + ")", f"sc AS (SELECT method, count(*) AS n, sqrt(avg((p - o) * (p - o))) AS rmse, avg(abs(p - o)) AS mae, avg(p - o) AS bias, {pearson_sql('p', 'o')} AS r FROM lo GROUP BY 1)")
 
-@query(recursive_with(*LADDER, "lo AS (" + " UNION ALL ".join(f"SELECT '{m}' AS method, {m} AS p, o FROM bt WHERE {m} IS NOT NULL" for m in ("climatology", "td_eq_tmin", "zone_ols", "tuned")) + ")", f"sc AS (SELECT method, count(*) AS n, sqrt(avg((p - o) * (p - o))) AS rmse, avg(abs(p - o)) AS mae, avg(p - o) AS bias, {pearson_sql('p', 'o')} AS r FROM lo GROUP BY 1)") + "SELECT 'll1' AS split, method, n, round(rmse, 3) AS rmse, round(mae, 3) AS mae, round(bias, 3) AS bias, round(r, 5) AS r, round(1 - rmse / (SELECT rmse FROM sc WHERE method = 'climatology'), 5) AS skill_vs_clim FROM sc")
+
+def scores_of(split: str) -> str:
+    """The score rows of a split from sc."""
+    return f"SELECT '{split}' AS split, method, n, round(rmse, 3) AS rmse, round(mae, 3) AS mae, round(bias, 3) AS bias, round(r, 5) AS r, round(1 - rmse / (SELECT rmse FROM sc WHERE method = 'climatology'), 5) AS skill_vs_clim FROM sc"
+
+
+@query(recursive_with(*LADDER, *SCORES) + scores_of("ll1"))
 def baseline_ladder(spark, sf):
     """Scores of climatology, TD = TMIN, the zone regression and the forecast."""
-    scores = baselines.ladder_scores(ladder(spark, sf))
+    return score_digits(baselines.ladder_scores(ladder(spark, sf)))
+
+
+def score_digits(scores: DataFrame) -> DataFrame:
+    """Scores rounded."""
     digits = {"rmse": 3, "mae": 3, "bias": 3, "r": 5, "skill_vs_clim": 5}
     return scores.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in scores.columns])
 
 
+#: The proxy series ends earlier than the model's: last training year and holdout by lead.
+PROXY_SPLITS = {"ll1": (TRAIN_END, HOLDOUT), "ll2": (TRAIN_END - 1, (HOLDOUT[0] - 1, HOLDOUT[1]))}
+BACKTEST_SQL = " UNION ALL ".join(f"SELECT * FROM ({recursive_with(*ladder_ctes(*x), *SCORES)}{scores_of(name)})" for name, x in PROXY_SPLITS.items())
+
+
+def backtest(spark, sf):
+    """Scores of all splits, each fitted on its own years."""
+
+    def forecaster(train, held, holdout):
+        clim = series.climatology(train)
+        return forecast.recursive(fit(train).where("const_anom is not null"), clim, train, held, holdout)
+
+    return baselines.backtest(daily(spark, sf), zones(spark, sf), forecaster, PROXY_SPLITS)
+
+
+@query(BACKTEST_SQL)
+def backtest_scores(spark, sf):
+    """Scores of all methods by split."""
+    return score_digits(backtest(spark, sf))
+
+
+@query(f"SELECT CAST(replace(split, 'll', '') AS INTEGER) AS lead, method, rmse FROM ({BACKTEST_SQL})")
+def lead_curve(spark, sf):
+    """Errors by years ahead."""
+    return baselines.lead_curve(score_digits(backtest(spark, sf)))
+
+
+@query(recursive_with(*LADDER) + 'SELECT CAST(month("FECHA") AS INTEGER) AS month, count(tuned) AS n, round(avg(tuned - o), 3) AS bias FROM bt GROUP BY 1')
+def monthly_bias(spark, sf):
+    """Mean error of the forecast by month."""
+    return metrics.monthly_bias(ladder(spark, sf)).withColumn("bias", F.round("bias", 3))
+
+
 TWO_METHODS = {"tuned": "pred_tuned", "climatology": "pred_clim"}
 ERRORS = (*LADDER, 'er AS (SELECT "ID", sum((tuned - o) * (tuned - o)) AS se_t, count(tuned) AS n_t, sum((climatology - o) * (climatology - o)) AS se_c, count(climatology) AS n_c FROM bt GROUP BY 1)')
 
@@ -550,17 +664,78 @@ def win_fraction_cohens_d(spark, sf):
     return d.select("n", F.round("mean_delta", 4).alias("mean_delta"), F.round("win_fraction", 6).alias("win_fraction"), F.round("cohens_d", 5).alias("cohens_d"))
 
 
-@query()
+POOLED = "sqrt(sum(se_t) / sum(n_t)) AS rmse, sqrt(sum(se_c) / sum(n_c)) AS rmse_baseline FROM er WHERE n_t > 0 AND n_c > 0"
+GOOD = "good AS MATERIALIZED (SELECT * FROM er WHERE n_t > 0 AND n_c > 0)"
+
+
+@query(recursive_with(*ERRORS) + f"SELECT round(rmse, 3) AS rmse, round(rmse_baseline, 3) AS rmse_baseline, round(rmse_baseline - rmse, 3) AS delta_rmse, round(1 - rmse / rmse_baseline, 5) AS skill FROM (SELECT {POOLED})")
+def pooled_rmse(spark, sf):
+    """Errors of two methods over all locations."""
+    e = inference.pooled(inference.per_id_errors(ladder(spark, sf), TWO_METHODS), "tuned", "climatology")
+    return e.select(*[F.round(c, 5 if c == "skill" else 3).alias(c) for c in e.columns])
+
+
+def bits16(draw: str, seed: int = 0) -> str:
+    """SQL of the 16 bits of a location's draw."""
+    return f"CAST('0x' || substr(md5(\"ID\" || ':{seed}:' || ({draw} // 8)), 1 + 4 * ({draw} % 8), 4) AS INTEGER)"
+
+
+def sign_of(draw: str, seed: int = 0) -> str:
+    """SQL of the sign of a location's draw."""
+    return f"(1 - 2 * ((CAST('0x' || substr(md5(\"ID\" || ':{seed}:' || ({draw} // 128)), 1 + ({draw} % 128) // 4, 1) AS INTEGER) >> (3 - {draw} % 4)) & 1))"
+
+
+N_BOOT, N_PERM = 1000, 5000
+BOOT = (
+    GOOD,
+    f'counted AS (SELECT d, se_t, n_t, se_c, n_c, {" + ".join(f"CAST(b >= {t} AS INTEGER)" for t in inference.POISSON)} AS k FROM (SELECT *, {bits16("d")} AS b FROM good, range({N_BOOT}) t(d)))',
+    "drawn AS (SELECT d, sqrt(sum(k * se_t) / sum(k * n_t)) AS a, sqrt(sum(k * se_c) / sum(k * n_c)) AS c FROM counted GROUP BY 1)",
+    "lim AS (SELECT quantile_cont(c - a, 0.025) AS delta_lo, quantile_cont(c - a, 0.975) AS delta_hi, quantile_cont(1 - a / c, 0.025) AS skill_lo, quantile_cont(1 - a / c, 0.975) AS skill_hi FROM drawn)",
+)
+SIGNS = (
+    'de AS MATERIALIZED (SELECT "ID", sqrt(se_c / n_c) - sqrt(se_t / n_t) AS delta FROM good)',
+    "obs AS (SELECT count(*) AS n, sum(delta) AS total, sum(abs(delta)) AS size FROM de)",
+    f"flips AS (SELECT d, sum({sign_of('d')} * abs(delta)) AS s FROM de, range({N_PERM}) t(d) GROUP BY 1)",
+    f"pv AS (SELECT n, total / n AS observed, (1 + (SELECT count(*) FROM flips WHERE s >= total - 1e-12 * size)) / {N_PERM + 1}.0 AS p_value FROM obs)",
+)
+
+
+@query(recursive_with(*ERRORS, *BOOT) + f"SELECT round(rmse, 3) AS rmse, round(rmse_baseline, 3) AS rmse_baseline, round(rmse_baseline - rmse, 3) AS delta_rmse, round(1 - rmse / rmse_baseline, 5) AS skill, round(delta_lo, 3) AS delta_lo, round(delta_hi, 3) AS delta_hi, round(skill_lo, 5) AS skill_lo, round(skill_hi, 5) AS skill_hi FROM (SELECT {POOLED}), lim")
 def bootstrap_delta_rmse(spark, sf):
     """Bootstrap limits of the gain over climatology."""
-    return r6(inference.bootstrap(inference.per_id_errors(ladder(spark, sf), TWO_METHODS), "tuned", "climatology", 1000))
+    return effect_digits(inference.bootstrap(inference.per_id_errors(ladder(spark, sf), TWO_METHODS), "tuned", "climatology", N_BOOT))
 
 
-@query()
+def effect_digits(df: DataFrame) -> DataFrame:
+    """Errors to three digits, shares to five."""
+    return df.select(*[F.round(c, 3 if "rmse" in c or "delta" in c else 5).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(recursive_with(*ERRORS, GOOD, *SIGNS) + "SELECT n, round(observed, 3) AS observed, round(p_value, 6) AS p_value FROM pv")
 def sign_flip_test(spark, sf):
     """Permutation test of the gain over climatology."""
     e = inference.per_id_errors(ladder(spark, sf), TWO_METHODS)
-    return r6(inference.sign_flip(inference.location_deltas(e, "tuned", "climatology"), 5000))
+    found = inference.sign_flip(inference.location_deltas(e, "tuned", "climatology"), N_PERM)
+    return found.select("n", F.round("observed", 3).alias("observed"), F.round("p_value", 6).alias("p_value"))
+
+
+def effect_sql(split: str) -> str:
+    """The effect-size row of a split."""
+    ctes = (*ladder_ctes(*PROXY_SPLITS[split]), ERRORS[-1], *BOOT, *SIGNS, "ef AS (SELECT avg(delta) AS mean_delta, avg(CASE WHEN delta > 0 THEN 1.0 ELSE 0.0 END) AS win_fraction, avg(delta) / nullif(stddev_samp(delta), 0) AS cohens_d FROM de)")
+    return recursive_with(*ctes) + f"SELECT '{split}' AS split, n, round(rmse, 3) AS rmse, round(rmse_baseline, 3) AS rmse_baseline, round(rmse_baseline - rmse, 3) AS delta_rmse, round(delta_lo, 3) AS delta_lo, round(delta_hi, 3) AS delta_hi, round(1 - rmse / rmse_baseline, 5) AS skill, round(skill_lo, 5) AS skill_lo, round(skill_hi, 5) AS skill_hi, round(mean_delta, 3) AS mean_delta, round(win_fraction, 5) AS win_fraction, round(cohens_d, 5) AS cohens_d, round(p_value, 5) AS p_value FROM (SELECT {POOLED}), lim, ef, pv"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({effect_sql(split)})" for split in PROXY_SPLITS))
+def effect_size_table(spark, sf):
+    """The evidence for the forecast against climatology, a row a split."""
+    out = None
+    for split, (train_end, holdout) in PROXY_SPLITS.items():
+        rows = daily(spark, sf)
+        train, held = rows.where(F.year("FECHA") <= train_end), series.years(rows, holdout)
+        tuned = forecast.recursive(fit(train).where("const_anom is not null"), series.climatology(train), train, held, holdout)
+        one = inference.effect_table(baselines.ladder(rows, zones(spark, sf), tuned, train_end, holdout), TWO_METHODS, split=split, n_boot=N_BOOT, n_perm=N_PERM)
+        out = one if out is None else out.unionByName(one)
+    return effect_digits(out)
 
 
 # ---- space, layout and scaling
@@ -658,7 +833,7 @@ def gamma_sql(rounds: int = 3, steps: int = 400) -> str:
         ctes.append(f"g{k} AS ({grid})")
         ctes.append(f"s{k} AS (SELECT i, g, (SELECT sum(pow(e - (1 + g) / (1 + g * p), 2)) FROM pts) AS sse, coalesce(lag(g) OVER (ORDER BY i), g) AS lo, coalesce(lead(g) OVER (ORDER BY i), g) AS hi FROM g{k})")
         ctes.append(f"m{k} AS (SELECT * FROM s{k} ORDER BY sse, i LIMIT 1)")
-        grid = f"SELECT i, lo + i / {steps - 1}.0 * (hi - lo) AS g FROM m{k}, range({steps}) t(i)".replace("SELECT i, lo", "SELECT t.i AS i, lo").replace("+ i /", "+ t.i /")
+        grid = f"SELECT t.i AS i, lo + t.i / {steps - 1}.0 * (hi - lo) AS g FROM m{k}, range({steps}) t(i)"
     return with_(*ctes) + f"SELECT round(g, 4) AS gamma FROM m{rounds - 1}"
 
 
@@ -669,6 +844,32 @@ def gamma_fit(spark, sf):
     return spark.createDataFrame([(round(scaling.fit_gamma(table_), 4),)], "gamma double")
 
 
+@query("SELECT CAST(p AS INTEGER) AS p, round(1.063 / (1 + 0.063 * p), 6) AS efficiency, round(p * 1.063 / (1 + 0.063 * p), 6) AS speedup FROM (SELECT unnest([1, 2, 4, 8, 16, 32]) AS p)")
+def contention_model(spark, sf):
+    """Efficiency and speedup of cores that share a memory bus."""
+    cores = spark.createDataFrame([(p,) for p in (1, 2, 4, 8, 16, 32)], "p int")
+    share = scaling.contention(F.col("p"), F.lit(0.063))
+    return r6(cores.select("p", share.alias("efficiency"), (share * F.col("p")).alias("speedup")))
+
+
+@query(with_(DAILY_SQL) + "SELECT n_ids, n_rows, n_rows * 2.0 * 22 AS assemble_flops, n_rows * 48.0 + n_ids * 366.0 * 176 AS assemble_bytes, n_ids * 366.0 * 44 * 23 AS convolve_flops, n_ids * 366.0 * 16 * 22 AS convolve_bytes, round(n_ids * 366.0 * (125 / 3.0 + 50), 3) AS solve_flops, n_ids * 366.0 * 224 AS solve_bytes FROM (SELECT count(DISTINCT \"ID\") AS n_ids, count(*) AS n_rows FROM series)")
+def cost_model(spark, sf):
+    """Operations and bytes of the standard fit."""
+    sizes = daily(spark, sf).agg(F.countDistinct("ID").alias("n_ids"), F.count(F.lit(1)).alias("n_rows"))
+    return scaling.cost_model(sizes).withColumn("solve_flops", F.round("solve_flops", 3))
+
+
+HARDWARE = [*[(r[2], r[3], r[4], r[5], r[7], r[8]) for r in RUNS if r[1] == "strong"], *[("gpu", 1, 10 * b, b, t, b * 0.5 + t) for b in (4, 8, 16) for t in range(3)]]
+HARDWARE_SQL = "runs(hw, p, n_ids, B, trial, wall_s) AS (VALUES " + ", ".join(f"('{h}', {p}, {n}, {b}, {t}, {w!r}::DOUBLE)" for h, p, n, b, t, w in HARDWARE) + ")"
+
+
+@query(with_(HARDWARE_SQL, "med AS (SELECT B, hw, p, median(wall_s) AS w, arg_min(n_ids, trial) AS n FROM runs GROUP BY ALL)", "best AS (SELECT B, hw, arg_min(p, w) AS p, arg_min(n, w) AS n, min(w) AS w FROM med GROUP BY ALL)") + 'SELECT B AS "B", hw, p, n AS n_ids, round(w, 6) AS wall_s, round(w / (n * 366), 8) AS s_per_fit, round(max(w) OVER (PARTITION BY B) / w, 6) AS gain FROM best')
+def hardware_comparison(spark, sf):
+    """Median times of two kinds of hardware, and seconds a fit."""
+    rows = spark.createDataFrame(HARDWARE, "hw string, p int, n_ids int, B int, trial int, wall_s double")
+    return scaling.hardware(rows).select("B", "hw", "p", "n_ids", F.round("wall_s", 6).alias("wall_s"), F.round("s_per_fit", 8).alias("s_per_fit"), F.round("gain", 6).alias("gain"))
+
+
 @query(with_(RUNS_SQL) + 'SELECT B AS "size", arg_min(p, w) AS block, round(min(w), 6) AS time_ms FROM (SELECT B, p, median(wall_s) AS w FROM runs GROUP BY 1, 2) GROUP BY 1')
 def best_block(spark, sf):
     """The setting of the least median time by size."""

@@ -29,10 +29,10 @@ def features_sql(names, source: str = "series", clim: str | None = None) -> list
     cols = ", ".join(f"{column(n)} AS f{i}" for i, n in enumerate(names))
     full = " AND ".join(f"f{i} IS NOT NULL" for i in range(len(names)))
     return [
-        clim or f'clim AS (SELECT "ID", doy, avg("TD") AS td_clim, avg("TMIN") AS tmin_clim FROM {source} GROUP BY 1, 2)',
+        clim or f'clim AS MATERIALIZED (SELECT "ID", doy, avg("TD") AS td_clim, avg("TMIN") AS tmin_clim FROM {source} GROUP BY 1, 2)',
         f'anom AS (SELECT s."ID", s."FECHA", s.doy, s."TD" - c.td_clim AS tda, s."TMIN" - c.tmin_clim AS tmina FROM {source} s LEFT JOIN clim c ON s."ID" = c."ID" AND s.doy = c.doy)',
         f'lagged AS (SELECT "ID", "FECHA", doy, CAST(year("FECHA") AS INTEGER) AS yr, tda AS target, {cols} FROM anom WINDOW w AS (PARTITION BY "ID" ORDER BY "FECHA"))',
-        f"feats AS (SELECT * FROM lagged WHERE target IS NOT NULL AND {full})",
+        f"feats AS MATERIALIZED (SELECT * FROM lagged WHERE target IS NOT NULL AND {full})",
     ]
 
 
@@ -44,7 +44,7 @@ def stat_list(n: int) -> list[str]:
 def gram_sql(n: int, keys: str = '"ID", doy') -> str:
     """CTE gram: day sums of feats."""
     parts = [f"sum(f{i} * f{j}) AS a_{i}_{j}" for i in range(n) for j in range(i, n)] + [f"sum(f{i} * target) AS b_{i}" for i in range(n)] + ["sum(target * target) AS yy", "count(*) AS n"]
-    return f"gram AS (SELECT {keys}, {', '.join(parts)} FROM feats GROUP BY {keys})"
+    return f"gram AS MATERIALIZED (SELECT {keys}, {', '.join(parts)} FROM feats GROUP BY {keys})"
 
 
 def kernel_sql(h: int, kernel: str) -> str:
@@ -55,7 +55,7 @@ def kernel_sql(h: int, kernel: str) -> str:
 def conv_sql(n: int, keys: str = '"ID"', where: str = "true") -> str:
     """CTE conv: kernel-weighted sums by target day."""
     sums = ", ".join(f"sum(w * {c}) AS {c}" for c in stat_list(n))
-    return f"conv AS (SELECT {keys}, target AS doy, {sums}, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, ((doy - 1 + delta) % 366 + 366) % 366 + 1 AS target FROM gram, kernel) WHERE {where} GROUP BY {keys}, target)"
+    return f"conv AS MATERIALIZED (SELECT {keys}, target AS doy, {sums}, CAST(sum(n) AS BIGINT) AS n FROM (SELECT *, ((doy - 1 + delta) % 366 + 366) % 366 + 1 AS target FROM gram, kernel) WHERE {where} GROUP BY {keys}, target)"
 
 
 def solve_sql(n: int, source: str = "conv", where: str = "n >= 15") -> list[str]:

@@ -55,8 +55,9 @@ def read_raw(spark: SparkSession, files: list[str]) -> DataFrame:
 
 
 def read_location(spark: SparkSession, files: list[str], location: int, value_name: str = "Value") -> DataFrame:
-    """The rows of one location; the filter reaches the scan."""
-    return read_raw(spark, files).where(F.col("ID") == location).withColumnRenamed("Value", value_name)
+    """The rows of one location; the filter reaches the scan. Files that lack a column are left out."""
+    whole = [f for f in files if {"ID", "FECHA", "Value"} <= set(spark.read.parquet(f).columns)]
+    return read_raw(spark, whole).where(F.col("ID") == location).withColumnRenamed("Value", value_name)
 
 
 def read_tree(spark: SparkSession, path: str, columns=None, where: str | None = None) -> DataFrame:
@@ -104,6 +105,58 @@ def bucket_ids(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"id_bucket=(\d+)", n)))
 
 
+def known_buckets(spark: SparkSession, root: str) -> int | None:
+    """How many buckets a tree has: as its writer has noted, else one more than its greatest bucket; None without any."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_buckets")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    noted = [int(s.getPath().getName()) for s in fs.listStatus(p)] if fs.exists(p) else []
+    found = bucket_ids(spark, root)
+    return max(noted) if noted else found[-1] + 1 if found else None
+
+
+def choose_buckets(spark: SparkSession, root: str, first: int | None = None, sample: int | None = None, seed: int = 0) -> list[int]:
+    """Buckets of a tree: the first so many by number, or a sample of so many that the seed determines; else all."""
+    import random
+
+    found = bucket_ids(spark, root)
+    if first is not None:
+        return found[:first]
+    return sorted(random.Random(seed).sample(found, min(sample, len(found)))) if sample is not None else found
+
+
+def load_buckets(spark: SparkSession, root: str, buckets: list[int]) -> DataFrame:
+    """The rows of some buckets of a tree; other folders aren't read."""
+    return spark.read.parquet(root).where(F.col("id_bucket").cast("int").isin(list(buckets))).drop("id_bucket")
+
+
+def global_max_id(spark: SparkSession, files: list[str]) -> int | None:
+    """The greatest ID in files; the footers' statistics answer where the reader can push the aggregate down."""
+    return spark.read.parquet(*files).select("ID").agg(F.max("ID")).first()[0] if files else None
+
+
+def checked_manifest(manifest: DataFrame) -> DataFrame:
+    """A recipe table with the columns and kinds that zoned training reads; recipes that can't be used are an error."""
+    rows = require_columns(manifest, ("zone_id", "doy", "h", "feature_list"), "manifest")
+    kinds = {"zone_id": "int", "doy": "int", "h": "int"}
+    rows = rows.select(*[F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in rows.columns])
+    bad = rows.where("zone_id is null or h is null or h < 1 or h > 182 or doy is null or not (doy = -1 or doy between 1 and 366) or feature_list is null or not (feature_list = 'const' or feature_list like 'const,%')")
+    if (example := bad.first()) is not None:
+        raise ValueError(f"not a recipe: {example}")
+    if rows.groupBy("zone_id", "doy").count().where("count > 1").head(1):
+        raise ValueError("a zone has two recipes for one day")
+    return rows
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A recipe table, checked."""
+    return checked_manifest(spark.read.parquet(path))
+
+
+def load_dataset(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """A Parquet file or tree without its bucket column, each row with its dataset's label."""
+    return read_tree(spark, path).withColumn("dataset", F.lit(label))
+
+
 def load_for_ids(spark: SparkSession, root: str, ids: DataFrame, buckets: int) -> DataFrame:
     """Prepared rows of some locations: only their buckets' folders are read, by dynamic partition pruning."""
     wanted = ids.select("ID", F.pmod("ID", F.lit(buckets)).cast("int").alias("id_bucket"))

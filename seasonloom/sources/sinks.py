@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seasonloom.functions.expressions import bucket_name
 from seasonloom.operators.series import prepared
-from seasonloom.sources.readers import exists, monthly_files, read_raw, yearly_files
+from seasonloom.sources.readers import checked_manifest, exists, known_buckets, monthly_files, read_raw, yearly_files
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -18,12 +18,28 @@ def filesystem(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_bucketed(df: DataFrame, path: str, buckets: int, by: tuple[str, ...] = (), order=("ID", "FECHA")) -> None:
-    """df under id_bucket=NNNN (and further partition columns), sorted within files; rewritten buckets only replace themselves."""
+def note_buckets(spark: SparkSession, path: str, buckets: int) -> None:
+    """Notes a tree's number of buckets in its folder, as a file whose name tells it."""
+    p, fs = filesystem(spark, f"{path}/_buckets")
+    fs.delete(p, True)
+    fs.create(filesystem(spark, f"{path}/_buckets/{buckets}")[0], True).close()
+
+
+def write_bucketed(df: DataFrame, path: str, buckets: int, by: tuple[str, ...] = (), order=("ID", "FECHA"), whole: bool = True) -> None:
+    """df under id_bucket=NNNN (and further partition columns), sorted within files.
+
+    whole: df is the whole tree, and nothing of an older one stays; else it replaces the folders that it has rows for, in
+    a tree with the same number of buckets (another number is an error: rows would be in two buckets).
+    """
+    spark = df.sparkSession
+    there = known_buckets(spark, path)
+    if not whole and there not in (None, buckets):
+        raise ValueError(f"{path} has {there} buckets, not {buckets}")
     tagged = df.withColumn("id_bucket", bucket_name(F.col("ID"), buckets))
     keys = [c for c in order if c in df.columns]
     writer = tagged.repartition("id_bucket", *by).sortWithinPartitions("id_bucket", *by, *keys).write
-    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id_bucket", *by).parquet(path)
+    writer.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic").partitionBy("id_bucket", *by).parquet(path)
+    note_buckets(spark, path, buckets)
 
 
 def done_years(spark: SparkSession, path: str) -> set[int]:
@@ -46,7 +62,7 @@ def build_training(spark: SparkSession, base: str, out: str, years: tuple[int, i
         if year in finished:
             continue
         sides = [read_raw(spark, yearly_files(spark, base, v, (year, year))) for v in (td_var, tmin_var)]
-        write_bucketed(prepared(*sides).withColumn("year", F.lit(year)), out, buckets, ("year",))
+        write_bucketed(prepared(*sides).withColumn("year", F.lit(year)), out, buckets, ("year",), whole=False)
         mark_done(spark, out, year)
         built.append(year)
     return built
@@ -108,15 +124,26 @@ def write_subset(spark: SparkSession, base: str, out: str, n_ids: int, variables
     return spark.createDataFrame(counts, "variable string, files int, rows long")
 
 
-def replace_staged(df: DataFrame, path: str) -> None:
-    """Writes df beside path and swaps the two, so that df may read path."""
+def replace_staged(df: DataFrame, path: str, buckets: int | None = None, order=("ID", "doy")) -> None:
+    """Writes df beside path and swaps the two, so that df may read path; buckets: df is written as a bucketed tree.
+
+    The old table is moved aside before the new one takes its place and deleted after that: whenever a run ends, one of
+    the two is whole, at path or at path.old-*.
+    """
     spark = df.sparkSession
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    df.write.parquet(staging)
+    mark = uuid.uuid4().hex
+    staging, aside = f"{path.rstrip('/')}.staging-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    if buckets:
+        write_bucketed(df, staging, buckets, order=order)
+    else:
+        df.write.parquet(staging)
     target, fs = filesystem(spark, path)
-    fs.delete(target, True)
-    source, _ = filesystem(spark, staging)
-    fs.rename(source, target)
+    old, source = filesystem(spark, aside)[0], filesystem(spark, staging)[0]
+    if fs.exists(target) and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(source, target):
+        raise OSError(f"{staging} can't be moved to {path}")
+    fs.delete(old, True)
 
 
 def missing_buckets(spark: SparkSession, done_root: str, wanted: DataFrame) -> DataFrame:
@@ -127,6 +154,24 @@ def missing_buckets(spark: SparkSession, done_root: str, wanted: DataFrame) -> D
     return wanted.join(done, "id_bucket", "left_anti")
 
 
+def append_csv(path: str, rows: list[dict], columns: list[str]) -> None:
+    """Appends measurements to a CSV file on the driver; the first call writes the header."""
+    import csv
+    import os
+
+    fresh = not os.path.exists(path) or os.path.getsize(path) == 0
+    with open(path, "a", newline="") as f:
+        out = csv.DictWriter(f, columns, extrasaction="ignore")
+        if fresh:
+            out.writeheader()
+        out.writerows(rows)
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """A recipe table, checked, as one Parquet dataset sorted by zone and day."""
+    checked_manifest(manifest).orderBy("zone_id", "doy").write.mode("overwrite").parquet(path)
+
+
 def markdown(df: DataFrame, title: str, limit: int = 1000) -> str:
     """A small table as Markdown: a report of up to limit rows."""
     rows = df.limit(limit).collect()

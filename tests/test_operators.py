@@ -213,3 +213,107 @@ def test_validation():
 
 def test_bucket_of_negative_numbers(spark):
     assert [r[0] for r in spark.createDataFrame([(-5,), (0,), (7,)], "x long").select(bucket_of(F.col("x"), 4)).collect()] == [3, 0, 3]
+
+
+def test_buckets_beyond_four_digits_and_their_layout(spark, tmp_path):
+    from seasonloom.functions.expressions import bucket_name
+
+    rows = spark.createDataFrame([(1234, 1.0), (12345, 2.0), (-1, 3.0)], "ID long, v double")
+    assert {r.ID: r.b for r in rows.select("ID", bucket_name(F.col("ID"), 20000).alias("b")).collect()} == {1234: "1234", 12345: "12345", -1: "19999"}
+    root = str(tmp_path / "tree")
+    sinks.write_bucketed(rows, root, 20000, order=("ID",))
+    assert readers.known_buckets(spark, root) == 20000 and readers.bucket_ids(spark, root) == [1234, 12345, 19999]
+    assert readers.load_for_ids(spark, root, rows.select("ID").where("ID = 12345"), 20000).first()["v"] == 2.0
+    with pytest.raises(ValueError):
+        sinks.write_bucketed(rows, root, 8, order=("ID",), whole=False)
+    sinks.write_bucketed(rows, root, 2, order=("ID",))
+    assert spark.read.parquet(root).count() == 3 and readers.known_buckets(spark, root) == 2
+    assert readers.choose_buckets(spark, root, first=1) == [0] and len(readers.choose_buckets(spark, root, sample=1)) == 1
+    assert readers.load_buckets(spark, root, [0]).count() == 1
+    sinks.replace_staged(spark.read.parquet(root).drop("id_bucket"), root, 4, order=("ID",))
+    assert readers.known_buckets(spark, root) == 4 and spark.read.parquet(root).count() == 3
+
+
+def test_manifest_is_checked(spark, tmp_path):
+    good = spark.createDataFrame([(1, -1, 11, "const,TMIN_anom")], "zone_id int, doy int, h int, feature_list string")
+    sinks.write_manifest(good, str(tmp_path / "m"))
+    assert readers.read_manifest(spark, str(tmp_path / "m")).count() == 1
+    for bad in ((1, 400, 11, "const"), (1, 1, 0, "const"), (None, 1, 11, "const"), (1, 1, 11, "TMIN_anom")):
+        with pytest.raises(ValueError):
+            readers.checked_manifest(spark.createDataFrame([bad], good.schema))
+    with pytest.raises(ValueError):
+        readers.checked_manifest(good.union(good))
+    sinks.append_csv(str(tmp_path / "t.csv"), [{"a": 1, "b": 2}], ["a", "b"])
+    sinks.append_csv(str(tmp_path / "t.csv"), [{"a": 3, "b": 4}], ["a", "b"])
+    assert (tmp_path / "t.csv").read_text().split() == ["a,b", "1,2", "3,4"]
+
+
+def test_zoned_batch_equals_one_location_at_a_time(spark):
+    """Lags 1, 2, 7, 30 and 60, days without recipe, missing inputs, zero coefficients."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    names = ["const", "TMIN_anom", "TD_anom_lag1", "TD_anom_lag2", "TD_anom_lag7", "TMIN_anom_lag30", "TD_anom_lag60"]
+    days = pd.date_range("1999-10-01", "2001-12-31")
+    parts = {"c": [], "m": [], "h": [], "f": []}
+    for i in range(1, 8):
+        for doy in range(1, 367):
+            if i == 3 and doy == 50 or i == 4:
+                continue
+            for n in names[: 3 + i % 5]:
+                parts["c"].append((i, doy, n, 0.0 if rng.random() < 0.1 else float(rng.normal() * 0.2)))
+            if not (i == 5 and doy == 70):
+                parts["m"].append((i, doy, float(rng.normal()), None if i == 6 and doy == 80 else float(rng.normal())))
+        for d in days:
+            td, tm = float(rng.normal()), float(rng.normal())
+            if d.year < 2001:
+                parts["h"].append((i, d.date(), td, tm))
+            elif not (i == 2 and d.dayofyear == 33):
+                parts["f"].append((i, d.date(), tm))
+    columns = {"c": ["ID", "doy", "feature_name", "coeff"], "m": ["ID", "doy", "TD_clim", "TMIN_clim"], "h": ["ID", "FECHA", "TD", "TMIN"], "f": ["ID", "FECHA", "TMIN"]}
+    kinds = {"c": "ID long, doy int, feature_name string, coeff double", "m": "ID long, doy int, TD_clim double, TMIN_clim double", "h": "ID long, FECHA date, TD double, TMIN double", "f": "ID long, FECHA date, TMIN double"}
+    frames = {k: pd.DataFrame(v, columns=columns[k]) for k, v in parts.items()}
+    want = {}
+    for i in range(1, 8):
+        one = forecast.forecast_group(*[frames[k][frames[k].ID == i] for k in "cmhf"], (2001, 2001))
+        want |= {(i, d): v for d, v in zip(one["FECHA"], one["TD_predicted"])}
+    found = forecast.zoned(*[spark.createDataFrame(parts[k], kinds[k]) for k in "cmhf"], (2001, 2001)).collect()
+    assert len(found) == len(want) > 1000
+    assert all(abs(r.TD_predicted - want[r.ID, r.FECHA]) < 1e-9 for r in found)
+
+
+def test_run_from_raw_files_to_forecast(spark, tmp_path):
+    """Prepare, fit, repair, forecast with missing values; a second run resumes; one climatology serves all phases."""
+    from seasonloom.plans import pipeline
+
+    base, out = str(tmp_path / "raw"), str(tmp_path / "out")
+    for var, name in (("TD", "td"), ("TMIN", "tmin_v12")):
+        rows = readers.synthetic_raw(spark, 3, (2001, 2003), var)
+        if var == "TD":
+            rows = rows.withColumn("Value", F.when((F.col("ID") == 2) & (F.to_date("FECHA") == "2002-05-05"), None).otherwise(F.col("Value")))
+        sinks.write_monthly(rows.withColumn("year_month", F.date_format("FECHA", "yyyy_MM")), f"{base}/{name}/Outputs", f"{name}_daily")
+    pipeline.run_prepare(spark, base, out, (2001, 2002), buckets=2)
+    config = FitConfig(min_samples=10, train_years=(2001, 2002))
+    pipeline.run_fit(spark, out, config, buckets=2)
+    table = spark.read.parquet(f"{out}/coefficients")
+    n = table.count()
+    assert n == 3 * 366 and readers.known_buckets(spark, f"{out}/coefficients") == 2
+    # the poisoned slot has no anomaly, so its neighbours miss a row there, not the whole window
+    assert table.where("ID = 2 and const_anom is null").count() == 0
+    whole = table.drop("id_bucket")
+    sinks.replace_staged(whole.where("not (doy = 100 and ID = 1)"), f"{out}/coefficients", 2)
+    assert pipeline.run_repair(spark, out, 3, config) == [] and readers.known_buckets(spark, f"{out}/coefficients") == 2
+    again = spark.read.parquet(f"{out}/coefficients")
+    assert again.count() == n and "id_bucket" in again.columns
+    sinks.filesystem(spark, out)[1].delete(sinks.filesystem(spark, f"{out}/coefficients/id_bucket=0001")[0], True)
+    pipeline.run_fit(spark, out, config, buckets=2, resume=True)
+    assert spark.read.parquet(f"{out}/coefficients").count() == n
+    files = pipeline.run_forecast(spark, base, out, (2003, 2003), 2002)
+    assert len(files) == 12 and spark.read.parquet(*files).count() > 3 * 360
+    zones = spark.createDataFrame([(i, 1, "z") for i in (1, 2, 3)], "ID long, zone_id int, zone_label string")
+    sinks.write_manifest(spark.createDataFrame([(1, -1, 11, "const,TMIN_anom,TD_anom_lag7")], "zone_id int, doy int, h int, feature_list string"), f"{out}/manifest")
+    pipeline.run_zoned(spark, out, zones, TuningConfig(config))
+    files = pipeline.run_forecast_zoned(spark, base, out, (2003, 2003), 2002)
+    assert len(files) == 12 and spark.read.parquet(*files).count() > 3 * 300
+    scores = pipeline.run_backtest(spark, out, zones, config, {"ll1": (2001, (2002, 2002))})
+    assert {r.method for r in scores.collect()} == {"climatology", "td_eq_tmin", "zone_ols", "tuned"}
