@@ -166,14 +166,16 @@ def test_selection_finds_the_planted_feature(spark):
     assert j[0] < 1e-6 and j[1] == z.count() == t.count()
 
 
-def test_registered_selection_and_tests_do_the_whole_job(monkeypatch):
+def test_registered_selection_and_tests_do_the_whole_job(spark, monkeypatch):
+    from unittest.mock import MagicMock
+
     from seasonloom.plans import catalog
 
     seen = []
     for name in ("daily", "zones", "ladder", "r6"):
         monkeypatch.setattr(catalog, name, lambda *a: None)
     for module, name in ((catalog.selection, "select"), (catalog.inference, "bootstrap"), (catalog.inference, "sign_flip")):
-        monkeypatch.setattr(module, name, lambda *a: seen.append(a[-1]))
+        monkeypatch.setattr(module, name, lambda *a: seen.append(a[-1]) or MagicMock(dtypes=[]))
     for name in ("per_id_errors", "location_deltas"):
         monkeypatch.setattr(catalog.inference, name, lambda *a: None)
     for name in ("zone_selection", "bootstrap_delta_rmse", "sign_flip_test"):
@@ -317,3 +319,111 @@ def test_run_from_raw_files_to_forecast(spark, tmp_path):
     assert len(files) == 12 and spark.read.parquet(*files).count() > 3 * 300
     scores = pipeline.run_backtest(spark, out, zones, config, {"ll1": (2001, (2002, 2002))})
     assert {r.method for r in scores.collect()} == {"climatology", "td_eq_tmin", "zone_ols", "tuned"}
+
+
+def shapefile(kind, shapes):
+    """Bytes of a main file: points, or polygons as lists of rings."""
+    import struct
+
+    out, body = b"", b""
+    for k, shape in enumerate(shapes):
+        if kind == 1:
+            one = struct.pack("<i2d", 1, *shape)
+        else:
+            points = [p for ring in shape for p in ring]
+            starts = [sum(map(len, shape[:r])) for r in range(len(shape))]
+            one = struct.pack("<i4d2i", 5, 0, 0, 1, 1, len(shape), len(points)) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+        body += struct.pack(">2i", k + 1, len(one) // 2) + one
+    return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, kind, *[0.0] * 8) + body + out
+
+
+def dbf(names):
+    """Bytes of a table with one text column."""
+    import struct
+
+    head = b"NAME".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([8, 0]) + b"\0" * 14
+    rows = b"".join(b" " + n.encode("latin-1").ljust(8) for n in names)
+    return struct.pack("<B3BIHH20x", 3, 1, 1, 1, len(names), 32 + 32 + 1, 9) + head + b"\r" + rows
+
+
+def test_shapefiles_become_rows(spark, tmp_path):
+    import zipfile
+
+    from seasonloom.sources import shapes
+
+    square = lambda x: [(x, 0.0), (x, 1.0), (x + 1, 1.0), (x + 1, 0.0), (x, 0.0)]
+    with zipfile.ZipFile(tmp_path / "zones.zip", "w") as z:
+        z.writestr("d/zones.shp", shapefile(5, [[square(0.0)], [square(2.0), square(4.0)]]))
+        z.writestr("d/zones.dbf", dbf(["Norte", "Peñón"]))
+    vertices, labels = shapes.read_zones(spark, str(tmp_path / "zones.zip"), "NAME")
+    assert vertices.count() == 12 and {(r.zone_id, r.zone_label) for r in labels.collect()} == {(0, "Norte"), (1, "Peñón")}
+    from seasonloom.operators import spatial
+
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 4.5, 0.5), (3, 9.0, 9.0)], "ID long, x double, y double")
+    assert {(r.ID, r.zone_id) for r in spatial.points_in_zones(points, vertices).collect()} == {(1, 0), (2, 1), (3, -1)}
+    (tmp_path / "p.shp").write_bytes(shapefile(1, [(1.5, 2.5), (3.0, 4.0)]))
+    assert [tuple(r) for r in shapes.read_points(spark, str(tmp_path / "p.shp")).orderBy("ID").collect()] == [(0, 1.5, 2.5), (1, 3.0, 4.0)]
+
+
+def netcdf(cube, lats, lons, first="2001-01-30"):
+    """Bytes of a classic file with the time as record dimension."""
+    import struct
+
+    text = lambda s: struct.pack(">i", len(s)) + s.encode().ljust(-(-len(s) // 4) * 4, b"\0")
+    attribute = lambda name, kind, n, raw: text(name) + struct.pack(">2i", kind, n) + raw.ljust(-(-len(raw) // 4) * 4, b"\0")
+    units = f"days since {first}"
+    listed = lambda tag, items: struct.pack(">2i", tag if items else 0, len(items)) + b"".join(items)
+    dims = listed(10, [text("time") + struct.pack(">i", 0), text("lat") + struct.pack(">i", len(lats)), text("lon") + struct.pack(">i", len(lons))])
+    variables = [("lat", [1], [], 6, 8 * len(lats)), ("lon", [2], [], 6, 8 * len(lons)), ("time", [0], [attribute("units", 2, len(units), units.encode())], 6, 8), ("tmin", [0, 1, 2], [attribute("_FillValue", 5, 1, struct.pack(">f", -99.0))], 5, 4 * len(lats) * len(lons))]
+
+    def header(begins):
+        parts = [text(n) + struct.pack(">i", len(d)) + struct.pack(f">{len(d)}i", *d) + listed(12, a) + struct.pack(">3i", k, s, b) for (n, d, a, k, s), b in zip(variables, begins)]
+        return b"CDF\x01" + struct.pack(">i", len(cube)) + dims + listed(12, []) + listed(11, parts)
+
+    at = len(header([0] * 4))
+    begins = [at, at + 8 * len(lats), at + 8 * (len(lats) + len(lons)), at + 8 * (len(lats) + len(lons)) + 8]
+    out = header(begins) + struct.pack(f">{len(lats)}d", *lats) + struct.pack(f">{len(lons)}d", *lons)
+    for t, grid in enumerate(cube):
+        out += struct.pack(">d", float(t)) + b"".join(struct.pack(">f", x) for row in grid for x in row)
+    return out
+
+
+def test_classic_rasters_become_rows_and_months(spark, tmp_path):
+    from seasonloom.sources import rasters
+
+    cube = [[[float(100 * t + 10 * i + j) for j in range(3)] for i in range(2)] for t in range(4)]
+    cube[1][0][2] = -99.0
+    (tmp_path / "nc").mkdir()
+    (tmp_path / "nc" / "a.nc").write_bytes(netcdf(cube, [-5.0, -6.0], [-80.0, -79.0, -78.0]))
+    (tmp_path / "nc" / "a_mean.nc").write_bytes(b"not read")
+    rows = rasters.read_rasters(spark, str(tmp_path / "nc"))
+    found = {(r.ID, r.FECHA): r.Value for r in rows.collect()}
+    assert len(found) == 23 and found[5, dt.date(2001, 2, 1)] == 212.0 and (2, dt.date(2001, 1, 31)) not in found
+    points = spark.createDataFrame([(7, 5), (8, 2)], "ID long, cell long")
+    made = rasters.extract_months(spark, rows, points, str(tmp_path / "out"), "tmin")
+    assert [m[-12:] for m in made] == ["2001_01.parquet"[-12:], "2001_02.parquet"[-12:]]
+    assert rasters.extract_months(spark, rows, points, str(tmp_path / "out"), "tmin") == []
+    assert spark.read.parquet(*made).count() == 7
+    with pytest.raises(ValueError):
+        rasters.Classic(b"\x89HDF....")
+
+
+def test_draws_are_those_of_the_digest():
+    import hashlib
+
+    ids = np.array([3, -7, 2**40], dtype=np.int64)
+    counts = inference.poisson_counts(ids, 500, 1)
+    for i, own in zip(ids.tolist(), counts):
+        for d in (0, 1, 7, 8, 499):
+            b = int(hashlib.md5(f"{i}:1:{d // 8}".encode()).hexdigest()[4 * (d % 8) : 4 * (d % 8) + 4], 16)
+            assert own[d] == sum(b >= t for t in inference.POISSON)
+    assert abs(inference.poisson_counts(np.arange(2000), 50, 0).mean() - 1) < 0.02
+
+
+def test_harness_appends_trials(tmp_path):
+    from seasonloom.plans import harness
+
+    csv = tmp_path / "runs.csv"
+    assert harness.main(["--data", "/root/testdata/sf0.001", "--csv", str(csv), "--cores", "1", "--buckets", "4", "--trials", "1"]) == 0
+    rows = csv.read_text().splitlines()
+    assert len(rows) == 2 and rows[1].startswith("sf0.001,strong,cpu,1,")
