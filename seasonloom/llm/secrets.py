@@ -49,11 +49,16 @@ UNIFORM_P = 1e-5
 CHUNK = 128
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often a lambda inside asks for it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def chunked(items: Column, state: Column, chunk) -> Column:
     """state after chunk(state, part) for each part of CHUNK items in turn: long arrays are built from short ones, so that
     n items cost n * sqrt(n) steps at most for any n that fits a text, not n * n."""
-    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / CHUNK) - 1, F.lit(0)).cast("int"))
-    return F.aggregate(parts, state, lambda now, k: chunk(now, F.slice(items, k * CHUNK + 1, F.lit(CHUNK))))
+    parts = lambda every: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(every) / CHUNK) - 1, F.lit(0)).cast("int"))
+    return bound(items, lambda every: F.aggregate(parts(every), state, lambda now, k: chunk(now, F.slice(every, k * CHUNK + 1, F.lit(CHUNK)))))
 
 
 def found_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -71,7 +76,7 @@ def found_spans(text: Column, kind: str, pattern: str, group: int, least: int) -
 
     def chunk(state: Column, part: Column) -> Column:
         more = F.aggregate(part, F.struct(state["at"].alias("at"), none.alias("spans")), step)
-        return F.struct(more["at"].alias("at"), F.concat(state["spans"], more["spans"]).alias("spans"))
+        return bound(more, lambda m: F.struct(m["at"].alias("at"), F.concat(state["spans"], m["spans"]).alias("spans")))
 
     walked = chunked(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), chunk)["spans"]
     return F.when(F.regexp_like(text, F.lit(pattern)), walked).otherwise(none)
@@ -160,7 +165,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(*[found_spans(text, kind, *PATTERNS[kind]) for kind in KINDS])
-    rows = docs.select(F.col(id_col), base.alias("base"), found_spans(without_base(text), "random", CANDIDATE, 0, LEAST).alias("found"))
+    rows = docs.select(F.col(id_col), base.alias("base"), without_base(text).alias("left"))
+    rows = rows.select(id_col, "base", found_spans(F.col("left"), "random", CANDIDATE, 0, LEAST).alias("found"))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "secret-spans")
     tokens = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("span")).select("row", "span", F.col("span.token").alias("token"))
     kept = discoveries(stored(battery(tokens), "secret-tests"), rate).where("secret")
@@ -187,15 +193,16 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         begin = state["at"]
         region = F.substring(text, begin + 1, F.array_max(F.transform(part, lambda s: s["end"])) - begin)
 
-        def step(now: Column, s: Column) -> Column:
-            piece = F.concat(F.substring(region, now["at"] - begin + 1, s["start"] - now["at"]), F.lit("<"), s["kind"], F.lit(">"))
+        def step(now: Column, s: Column, here: Column) -> Column:
+            piece = F.concat(F.substring(here, now["at"] - begin + 1, s["start"] - now["at"]), F.lit("<"), s["kind"], F.lit(">"))
             return F.struct(F.greatest(now["at"], s["end"]).alias("at"), F.when(s["start"] >= now["at"], F.concat(now["out"], F.array(piece))).otherwise(now["out"]).alias("out"))
 
-        more = F.aggregate(part, F.struct(begin.alias("at"), words.alias("out")), step)
-        return F.struct(more["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(more["out"], ""))).alias("out"))
+        more = bound(region, lambda here: F.aggregate(part, F.struct(begin.alias("at"), words.alias("out")), lambda now, s: step(now, s, here)))
+        return bound(more, lambda m: F.struct(m["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(m["out"], ""))).alias("out")))
 
     walked = chunked(F.col("spans"), F.struct(F.lit(0).alias("at"), words.alias("out")), chunk)
-    clean = F.when(F.size("spans") == 0, text).otherwise(F.concat(F.array_join(walked["out"], ""), F.substring(text, walked["at"] + 1, F.length(text))))
+    whole = bound(walked, lambda w: F.concat(F.array_join(w["out"], ""), F.substring(text, w["at"] + 1, F.length(text))))
+    clean = F.when(F.size("spans") == 0, text).otherwise(whole)
     return spans.select(*[clean.alias(c) if c == text_col else F.col(f"key.{c}").alias(c) for c in docs.columns])
 
 
