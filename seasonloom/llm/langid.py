@@ -91,7 +91,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
             for lang, own in frame.groupby("lang"):
                 texts = list(own["text"])
                 for a, b in textops.batches(texts):
-                    chars, is_letter, words = letter_words(texts[a:b])
+                    chars, is_letter, words = letter_words(["", *texts[a:b]])  # the first text too has an edge before it
                     kinds = [(0, words.hashes())] + [(n, h) for n, _, h in textops.ngrams(chars, ~is_letter, 1, LONGEST)]
                     for n, h in kinds:
                         keys, times = np.unique(h, return_counts=True)

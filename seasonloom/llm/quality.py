@@ -31,7 +31,8 @@ SAME_WORD = 0x5A5A5
 
 def features(texts: list[str], bits: int = BUCKET_BITS):
     """Buckets of all words and n-grams of a batch of texts, and the text of each."""
-    chars, begins = textops.code_points(texts)
+    chars, begins = textops.code_points(["", *texts])  # the first text too has an edge before it
+    begins = begins[1:]
     space = (chars == 32) | (chars >= 9) & (chars <= 13)
     words = textops.Words(chars, ~space, begins)
     mask = np.uint64((1 << bits) - 1)
