@@ -17,6 +17,7 @@ import json
 import os
 from array import array
 from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +45,9 @@ def compiled(data: bytes) -> dict:
     """The automaton of a tokenizers JSON file (byte-level BPE) as tables: built once, on the driver, before the first text.
 
     Tokens stand in an order in which those that begin with a token, by their merges, follow it, latest first: whatever a
-    gadget takes away from a state is one interval of places. ids: by label; place: by token; row, cuts: by token the
-    sorted ends of the intervals of places that its state has no arc for, as one array and where each token's begin.
+    gadget takes away from a state is one interval of places. labels: one after another, ends of each; born: whether
+    merges make a token; place: by token; row, cuts: by token the sorted ends of the intervals of places that its state has
+    no arc for, as one array and where each token's begin.
     """
     spec = json.loads(data)
     letters = byte_letters()
@@ -91,14 +93,19 @@ def compiled(data: bytes) -> dict:
         row.append(len(flat))
     for text, i in specials.items():
         labels[i] = text.encode()
-    return {"labels": labels, "ids": {labels[i]: i for i in vocab.values() if born[i]}, "specials": specials, "place": array("i", place), "row": array("i", row), "cuts": array("i", flat)}
+    # arrays and bytes, not an object for each token: the driver keeps them, and they are sent to every worker
+    ends = array("i", accumulate(map(len, labels)))
+    return {"labels": b"".join(labels), "ends": ends, "born": bytes(born), "specials": specials, "place": array("i", place), "row": array("i", row), "cuts": array("i", flat)}
 
 
 class MergeAutomaton:
     """The automaton that compiled() has built, made ready to run."""
 
     def __init__(self, tables: dict):
-        self.ids, self.specials, self.labels, self.place = tables["ids"], tables["specials"], tables["labels"], tables["place"]
+        text, ends = tables["labels"], tables["ends"]
+        self.labels = [text[a:b] for a, b in zip([0, *ends], ends)]
+        self.specials, self.place = tables["specials"], tables["place"]
+        self.ids = {self.labels[i]: i for i, made in enumerate(tables["born"]) if made}
         row, cuts = tables["row"], tables["cuts"]
         self.cuts = [cuts[a:b] for a, b in zip(row, row[1:])]  # by state: the state of a token is what may follow it
         self.trie: dict = {}

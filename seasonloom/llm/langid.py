@@ -104,20 +104,26 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
     kept = {}
     for n in range(LONGEST + 1):
         top = by_gram.where(F.col("n") == n).orderBy(F.desc("times"), "gram").limit(most_grams if n else most_words)
-        kept[n] = top.toPandas()
+        kept[n] = top.select("gram", "by").toArrow()  # numbers, not a Python object for each row
     return pickle.dumps(tables(kept, langs, {(r["n"], r["lang"]): r["all"] for r in totals}))
 
 
 def tables(kept: dict, langs: list[str], totals: dict) -> dict:
-    """Log frequencies as arrays: of each n, keys and a row by language."""
-    model = {"langs": langs}
-    for n, frame in kept.items():
-        logs = np.zeros((len(frame), len(langs)))
-        for k, by in enumerate(frame["by"]):
-            for x in by:
-                logs[k, langs.index(x["lang"])] = x["times"]
+    """Log frequencies as arrays: of each n, keys and a row by language. kept: Arrow tables of gram and by, a list of (lang, times)."""
+    model, place = {"langs": langs}, {lang: k for k, lang in enumerate(langs)}
+    for n, table in kept.items():
+        grams = table["gram"].to_numpy().astype(np.int64)
+        logs = np.zeros((len(grams), len(langs)))
+        at = 0
+        for chunk in table["by"].chunks:
+            flat, ends = chunk.flatten(), chunk.offsets.to_numpy()
+            row = at + np.repeat(np.arange(len(chunk)), np.diff(ends))
+            names = flat.field("lang").dictionary_encode()
+            of = np.array([place[x] for x in names.dictionary.to_pylist()], dtype=np.int64)
+            logs[row, of[names.indices.to_numpy()]] = flat.field("times").to_numpy()
+            at += len(chunk)
         all_ = np.array([totals.get((n, lang), 0) for lang in langs], dtype=float)
-        model[n] = (frame["gram"].to_numpy(dtype=np.int64).view(np.uint64), np.log((logs + 0.1) / (all_ + 0.1 * max(1, len(frame)))).astype(np.float32))
+        model[n] = (grams.view(np.uint64), np.log((logs + 0.1) / (all_ + 0.1 * max(1, len(grams)))).astype(np.float32))
     return model
 
 
