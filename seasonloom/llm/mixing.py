@@ -138,12 +138,21 @@ def numbered(docs: DataFrame) -> DataFrame:
     return stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
 
 
+def by_block(pieces: DataFrame, slots: DataFrame) -> DataFrame:
+    """pieces (p) with the slots (t) that take their block.
+
+    Both sides come from exploded ranges, which the planner takes for as small as the stored ranges: without the hint it
+    may collect all slots in the driver to broadcast them.
+    """
+    return pieces.alias("p").join(slots.hint("merge").alias("t"), same("p", "t", "source") & (F.col("p.block") == F.col("t.block")))
+
+
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken for each document: the words that the mix takes, repeats counted."""
     rows = numbered(docs)
     plan = mix(rows, **options)
     times = plan["slots"].groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    hit = plan["pieces"].alias("p").join(times.alias("t"), same("p", "t", "source") & (F.col("p.block") == F.col("t.block")))
+    hit = by_block(plan["pieces"], times)
     taken = hit.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     shares = stored(plan["shares"], "mix-targets")
     found = rows.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
@@ -172,7 +181,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     # numbers follow from the rows' contents, not from partitions
     rows = stored(rows.select(F.struct(*key, "copy").alias("row"), "doc_id", "source", "size"), "mix-rows")
     plan = mix(rows, **options)
-    hit = plan["pieces"].alias("p").join(plan["slots"].alias("t"), same("p", "t", "source") & (F.col("p.block") == F.col("t.block")))
+    hit = by_block(plan["pieces"], plan["slots"])
     spans = hit.groupBy("row", "turn").agg(F.array_sort(F.collect_list(F.struct("from_word", "words"))).alias("spans"), F.sum("words").alias("taken"), F.max("size").alias("size"))  # bounded by a document's blocks
     spans = spans.select(*[f"row.{k}" for k in key], "spans", "taken", "size")
     full = whole.dropDuplicates(key).join(spans.hint("merge"), key)

@@ -338,6 +338,15 @@ def test_mixing_meets_targets_and_limits(spark):
     assert mixing.taken_words(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("made", [mixing.mixed_documents, mixing.taken_words])
+def test_mix_never_broadcasts_its_slots(spark, made):
+    rng = random.Random(11)
+    found = made(documents(spark, [(k, prose(rng, 40), f"s{k % 3}") for k in range(60)]), block_words=16)
+    assert found.collect()
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in x and "block#" in x]
+    assert joins and not any("Broadcast" in x for x in joins)
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 3, 17, 1000):
         df = spark.range(n).select(F.col("id").alias("j"), F.lit(n).cast("long").alias("n"), F.lit("s").alias("source"))
