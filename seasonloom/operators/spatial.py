@@ -77,20 +77,22 @@ def projected(points: DataFrame, meridian: float = -75.0, lon: str = "lon", lat:
 def nearest_zone(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """ID, zone_id, distance of the zone with the nearest edge to each point (x, y in the plane); ties to the smaller number.
 
-    Zones are few (tens of polygons), points many: each point walks through the edges of one zone at a time, which come
-    as an array by an equijoin on the zone number, so no pair of point and edge is ever a row.
+    Zones are few (tens of polygons), points many: the edges of all zones are broadcast as one row, and each point walks
+    through them where it is, so that no pair of point and zone or edge is ever a row.
     """
-    edges = polygon_edges(vertices).groupBy("zone_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    zones = [r["zone_id"] for r in edges.select("zone_id").orderBy("zone_id").collect()]  # numbers of a few zones
-    spread = points.select("ID", "x", "y", F.explode(F.array(*[F.lit(z) for z in zones])).alias("zone_id"))
+    edges = polygon_edges(vertices).where("zone_id is not null").groupBy("zone_id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+    zones = edges.agg(F.collect_list(F.struct("zone_id", "edges")).alias("zones"))
 
     def distance(e):
         dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
         at = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((F.col("x") - e["x1"]) * dx + (F.col("y") - e["y1"]) * dy, dx * dx + dy * dy), F.lit(0.0))))
         return F.sqrt((F.col("x") - e["x1"] - at * dx) ** 2 + (F.col("y") - e["y1"] - at * dy) ** 2)
 
-    far = spread.join(edges, "zone_id").select("ID", "zone_id", F.array_min(F.transform("edges", distance)).alias("distance"))
-    return far.groupBy("ID").agg(F.min(F.struct("distance", "zone_id")).alias("best")).select("ID", F.col("best.zone_id").cast("int").alias("zone_id"), F.col("best.distance").alias("distance"))
+    nearest = F.array_min(F.transform("zones", lambda z: F.struct(F.array_min(F.transform(z["edges"], distance)).alias("distance"), z["zone_id"].alias("zone_id"))))
+    # the walk is long for its few bytes: a fixed number of parts, which the grouping keeps
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    far = points.select("ID", "x", "y").repartition(parts, "ID").crossJoin(F.broadcast(zones)).select("ID", nearest.alias("best"))
+    return far.groupBy("ID").agg(F.min("best").alias("best")).where("best is not null").select("ID", F.col("best.zone_id").cast("int").alias("zone_id"), F.col("best.distance").alias("distance"))
 
 
 def zone_table(points: DataFrame, vertices: DataFrame, labels: DataFrame, limit: float = math.inf) -> DataFrame:

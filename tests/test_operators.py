@@ -365,6 +365,40 @@ def test_shapefiles_become_rows(spark, tmp_path):
     assert [tuple(r) for r in shapes.read_points(spark, str(tmp_path / "p.shp")).orderBy("ID").collect()] == [(0, 1.5, 2.5), (1, 3.0, 4.0)]
 
 
+def test_nearest_zone_keeps_points_out_of_the_driver(spark):
+    import math
+
+    from seasonloom.operators import spatial
+
+    corners = [(0, 0, 0, 0.0, 0.0), (0, 0, 1, 4.0, 0.0), (0, 0, 2, 0.0, 4.0), (1, 0, 0, 8.0, 0.0), (1, 0, 1, 8.0, 5.0), (1, 0, 2, 12.0, 0.0), (2, 0, 0, 8.0, 0.0), (2, 0, 1, 8.0, 5.0), (2, 0, 2, 12.0, 0.0)]
+    vertices = spark.createDataFrame([*corners, (None, 0, 0, 1.0, 1.0)], "zone_id int, ring int, seq int, x double, y double")
+    places = {k: (k * 37 % 50 / 3 - 2, k * 91 % 50 / 5 - 2) for k in range(200)}
+    points = spark.range(200).select(F.col("id").alias("ID"), (F.col("id") * 37 % 50 / 3 - 2).alias("x"), (F.col("id") * 91 % 50 / 5 - 2).alias("y"))
+
+    def far(x, y, a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = max(0.0, min(1.0, ((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(x - a[0] - t * dx, y - a[1] - t * dy)
+
+    rings = {z: [c[3:] for c in corners if c[0] == z] for z in (0, 1, 2)}
+    found = spatial.nearest_zone(points.union(points.where("ID = 5")), vertices)
+    rows = found.collect()
+    assert sorted(r.ID for r in rows) == list(range(200))
+    for r in rows:
+        d, z = min((round(min(far(*places[r.ID], a, b) for a, b in zip(ring, ring[1:] + ring[:1])), 12), z) for z, ring in rings.items())
+        assert r.zone_id == z and abs(r.distance - d) < 1e-9
+    assert spatial.nearest_zone(points, vertices.where("false")).count() == 0
+    # what is broadcast comes from the vertices, never from points: the lines under an exchange that stand further in
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    under = []
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((i for i in range(k + 1, len(lines)) if depth[i] <= depth[k]), len(lines))
+            under += lines[k + 1 : end]
+    assert under and not any("Range (" in x for x in under)
+
+
 def netcdf(cube, lats, lons, first="2001-01-30"):
     """Bytes of a classic file with the time as record dimension."""
     import struct
