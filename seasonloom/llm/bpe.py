@@ -227,7 +227,7 @@ def tables_of(path: str) -> dict:
 
 def automaton(tables) -> MergeAutomaton:
     """The automaton of broadcast tables, made ready once in a worker."""
-    cache, key = worker_cache(), ("bpe", tables.value["row"][-1], hash(tables.value["place"].tobytes()))
+    cache, key = worker_cache("bpe"), (tables.value["row"][-1], hash(tables.value["place"].tobytes()))
     if key not in cache:
         cache[key] = MergeAutomaton(tables.value)
     return cache[key]

@@ -90,12 +90,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker: models are built once for many tasks."""
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python worker: models are built once for many tasks.
+
+    It is that of one operator: workers outlive stages, so what another has left is dropped, and its memory given back.
+    """
     import sys
     import types
 
-    return sys.modules.setdefault("_seasonloom_worker", types.ModuleType("_seasonloom_worker")).__dict__
+    kept = sys.modules.setdefault("_seasonloom_worker", types.ModuleType("_seasonloom_worker")).__dict__.setdefault("models", {})
+    if any(name != owner for name in kept):
+        kept.clear()
+        give_back()
+    return kept.setdefault(owner, {})
+
+
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system: what is freed otherwise stays with the allocators."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def read_file(path: str) -> bytes:

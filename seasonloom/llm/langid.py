@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonloom.llm import textops
-from seasonloom.llm.common import doc_hash, stored
+from seasonloom.llm.common import doc_hash, give_back, stored, worker_cache
 
 #: Bounds of the fit, parameters of train(): about so many documents of each language, chosen by hash; languages, the
 #: most frequent ones; words and n-grams (each n) of the model, the most frequent ones in the sample.
@@ -87,6 +87,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
     sample = labelled.where(number < F.element_at(share, F.col("lang"))).select("lang", "text")
 
     def count(frames):
+        worker_cache("langid")  # no other operator's models beside the counts
         for frame in frames:
             for lang, own in frame.groupby("lang"):
                 texts = list(own["text"])
@@ -96,6 +97,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key:
                     for n, h in kinds:
                         keys, times = np.unique(h, return_counts=True)
                         yield pd.DataFrame({"lang": lang, "n": n, "gram": keys.view(np.int64), "times": times})
+        give_back()
 
     counts = sample.mapInPandas(count, "lang string, n int, gram long, times long").groupBy("n", "gram", "lang").agg(F.sum("times").alias("times"))
     counts = stored(counts, "language-counts")  # read once for each n
@@ -180,6 +182,7 @@ def predict(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(frames):
+        worker_cache("langid")  # no other operator's models beside this one
         spec = pickle.loads(shared.value)
         scorer = Scorer(spec) if spec else None
         for frame in frames:
@@ -188,6 +191,7 @@ def predict(docs: DataFrame, model: bytes, text_col: str = "text", keep: tuple[s
                 langs, scores = scorer.predict(texts[a:b]) if scorer else (["und"] * (b - a), [0.0] * (b - a))
                 out = frame.iloc[a:b][list(keep)]
                 yield out.assign(lang_pred=pd.Series(langs, index=out.index, dtype=object), score=pd.Series(scores, index=out.index, dtype=float))
+        give_back()
 
     # a text that is kept goes to the workers once
     column = text_col if text_col in keep else "_text"

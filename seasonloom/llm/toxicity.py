@@ -278,7 +278,7 @@ def fit(rows: list[tuple]) -> bytes:
 
 def opened(model: bytes) -> Model:
     """The model, opened once in a worker."""
-    cache = worker_cache()
+    cache = worker_cache("toxicity")
     if cache.get("toxicity", (None,))[0] != hash(model):
         cache["toxicity"] = hash(model), Model.__new__(Model).open(pickle.loads(zlib.decompress(model)))
     return cache["toxicity"][1]

@@ -189,6 +189,24 @@ def marked(rng, n, quality_):
     return prose(rng, n) if quality_ else prose(rng, n).upper().replace(" ", "!! ")
 
 
+def test_language_id_drops_the_automaton_of_its_worker(spark):
+    docs = documents(spark, [(k, f"plain words {k}", "s") for k in range(20)]).coalesce(1)
+
+    def size(frames):
+        import gc
+
+        for frame in frames:
+            yield frame.assign(id=sum(type(x).__name__ == "MergeAutomaton" for x in gc.get_objects()))
+
+    held = lambda: spark.range(1).coalesce(1).mapInPandas(size, "id long").first()[0]
+    for _ in range(3):  # more than one worker may be idle
+        bpe.encode_documents(docs, VOCAB).collect()
+    model = langid.train(docs)
+    for _ in range(8):
+        langid.predict(docs, model).collect()
+    assert [held() for _ in range(4)] == [0] * 4
+
+
 def test_quality_and_rules_on_held_out_rows(spark):
     rng = random.Random(6)
     rows = [(k, marked(rng, 60, k % 3 > 0), None) for k in range(300)] + [(900, None, None), (901, "", None), (902, "short text", None)]
